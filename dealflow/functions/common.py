@@ -55,16 +55,29 @@ def floor_zero(c: Column) -> Column:
     return F.when(F.lit(0.0) > c, F.lit(0.0)).otherwise(c)
 
 
-def round_to(c: Column, decimals: int) -> Column:
-    """Half-up rounding by ``floor(x * 10^d + 0.5) / 10^d`` in binary floating point.
-
-    Unlike ``round`` (which rounds the shortest decimal string), this is the
-    same IEEE operation sequence in Spark and DuckDB, so reports from both
-    engines agree bit for bit.  Infinities and NaN pass through.
+def round_to(c: Column, decimals: int, max_sig: int = 9) -> Column:
+    """Half-up rounding to ``decimals`` places, at most ``max_sig`` significant digits.
+
+    Computed as ``floor(x * 10^d + 0.5) / 10^d`` in binary floating point
+    (``10^d`` is exact), which is the same IEEE operation sequence in Spark and
+    DuckDB -- unlike ``round``, which rounds the shortest decimal string.  Large
+    magnitudes (e.g. a diverged Newton IRR) keep ``max_sig`` digits so that
+    last-ulp ``pow`` differences between engines do not show.  The result
+    stays a double throughout (no integer cast that could saturate);
+    infinities and NaN pass through.
     """
-    scale = float(10 ** decimals)
-    rounded = F.floor(c * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
-    return F.when(is_finite(c), rounded).otherwise(c)
+    a = F.abs(c)
+    big = a >= F.lit(10.0 ** (max_sig - decimals))
+    # digits before the point minus one
+    e = F.floor(F.log10(F.when(big, a).otherwise(F.lit(1.0)))).cast("int")
+    d_big = F.lit(max_sig - 1) - e
+    up = F.pow(F.lit(10.0), F.greatest(d_big, F.lit(0)).cast("double"))
+    down = F.pow(F.lit(10.0), F.greatest(-d_big, F.lit(0)).cast("double"))
+    big_val = F.when(d_big >= 0, F.floor(c * up + F.lit(0.5)).cast("double") / up).otherwise(
+        F.floor(c / down + F.lit(0.5)).cast("double") * down)
+    scale = F.lit(float(10 ** decimals))
+    small_val = F.floor(c * scale + F.lit(0.5)).cast("double") / scale
+    return F.when(~is_finite(c), c).when(big, big_val).otherwise(small_val)
 
 
 def round_money(c: Column) -> Column:

@@ -57,3 +57,93 @@ FROM deals
 def q_roi_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _deals(spark, sf_dir).withColumnRenamed("noi_next12", "predicted_noi_next12")
     return roi_snapshot(d, rounded=True)
+
+
+# ---------------------------------------------------------------------------
+# U1-U6 simple underwriting, R4 IRR (hold 5, growth 3%, exit cap 6.5%, 2% selling)
+# ---------------------------------------------------------------------------
+
+def _uw_ctes(hold: int = 5, growth: str = "3e-2", cap: str = "6.5e-2", sell: str = "2e-2") -> str:
+    return f"""
+uw0 AS (
+  SELECT deal_id, noi_next12 AS noi1, purchase_price * ltv AS loan,
+         purchase_price - purchase_price * ltv AS equity, interest_rate AS rate, amort_years AS amort
+  FROM deals),
+uw1 AS (
+  SELECT *, {q.ads('loan', 'rate', 'amort')} AS ads,
+         list_transform(range(1, {hold} + 1), lambda y: noi1 * pow(1e0 + {growth}, y - 1)) AS noi
+  FROM uw0),
+uw2 AS (
+  SELECT *, {q.inf_div('noi[len(noi)]', cap)} AS exit_value,
+         {q.balance('loan', 'rate', 'amort', f'{hold} * 12')} AS bal
+  FROM uw1),
+uw3 AS (
+  SELECT *, exit_value * {sell} AS selling, exit_value - exit_value * {sell} - bal AS net FROM uw2),
+uw AS (
+  SELECT *, list_concat([-equity], list_transform(noi, lambda n, i:
+           CASE WHEN i = len(noi) THEN (n - ads) + net ELSE n - ads END)) AS cfs
+  FROM uw3)
+"""
+
+
+def _uw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.underwrite import underwrite
+    d = _deals(spark, sf_dir).withColumnRenamed("noi_next12", "predicted_noi_next12")
+    return underwrite(d)
+
+
+_UW_SUMMARY_SQL = with_deals(f"""
+SELECT deal_id,
+       {q.money('loan')} AS loan_amount, {q.money('equity')} AS equity_required,
+       {q.money('ads')} AS annual_debt_service, {q.money('exit_value')} AS exit_value,
+       {q.money('selling')} AS selling_costs, {q.money('bal')} AS remaining_loan_balance_at_sale,
+       {q.money('net')} AS net_sale_proceeds, {q.ratio(q.irr('cfs'))} AS irr_5yr,
+       {q.ratio(q.inf_div('noi[1] - ads', 'equity'))} AS cash_on_cash_year1
+FROM uw
+""", _uw_ctes())
+
+
+@register("underwrite_summary", _UW_SUMMARY_SQL)
+def q_underwrite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.common import round_money, round_ratio
+    s = _uw(spark, sf_dir).select("deal_id", "summary.*")
+    ratios = {"irr_5yr", "cash_on_cash_year1"}
+    return s.select("deal_id", *[(round_ratio(F.col(c)) if c in ratios else round_money(F.col(c))).alias(c)
+                                 for c in s.columns if c != "deal_id"])
+
+
+_UW_SCHEDULE_SQL = with_deals(f"""
+SELECT deal_id, CAST(y AS INTEGER) AS year, {q.money('noi[y]')} AS noi, {q.money('ads')} AS debt_service,
+       {q.money('noi[y] - ads')} AS cash_flow, {q.ratio(q.inf_div('noi[y]', 'ads'))} AS dscr
+FROM uw, range(1, 6) t(y)
+""", _uw_ctes())
+
+
+@register("underwrite_schedule", _UW_SCHEDULE_SQL)
+def q_underwrite_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.common import round_money, round_ratio
+    from ..operators.underwrite import schedule_long
+    s = schedule_long(_uw(spark, sf_dir))
+    return s.select("deal_id", "year", round_money(F.col("noi")).alias("noi"),
+                    round_money(F.col("debt_service")).alias("debt_service"),
+                    round_money(F.col("cash_flow")).alias("cash_flow"),
+                    round_ratio(F.col("dscr")).alias("dscr"))
+
+
+_IRR_SQL = with_deals(f"""
+SELECT deal_id, CAST(periods AS BIGINT) AS periods, {q.ratio(q.irr('cfs'))} AS irr
+FROM regrouped
+""", _uw_ctes(), """
+long_cf AS (SELECT deal_id, t.i - 1 AS t, cfs[t.i] AS cf FROM uw, range(1, len(cfs) + 1) t(i)),
+regrouped AS (SELECT deal_id, list(cf ORDER BY t) AS cfs, count(*) AS periods FROM long_cf GROUP BY deal_id)
+""")
+
+
+@register("irr_portfolio", _IRR_SQL)
+def q_irr_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R4 on a long (deal, t, cash flow) table: regroup in period order, then solve."""
+    from ..functions.common import round_ratio
+    from ..operators.cashflows import irr_from_long
+    long_cf = _uw(spark, sf_dir).select("deal_id", F.posexplode("cash_flows").alias("t", "cf"))
+    out = irr_from_long(long_cf, key="deal_id", period="t", amount="cf")
+    return out.select("deal_id", "periods", round_ratio(F.col("irr")).alias("irr"))

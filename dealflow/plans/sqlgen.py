@@ -7,10 +7,18 @@ plan); nothing here is executed by Spark.
 from __future__ import annotations
 
 
-def rnd(expr: str, decimals: int) -> str:
-    """Same half-up binary rounding as ``functions.common.round_to``."""
+def rnd(expr: str, decimals: int, max_sig: int = 9) -> str:
+    """Same rounding as ``functions.common.round_to`` (decimals, capped sig. digits)."""
+    x = f"({expr})"
+    big = f"abs({x}) >= {10.0 ** (max_sig - decimals)!r}"
+    d_big = f"({max_sig - 1} - CAST(floor(log10(abs({x}))) AS INTEGER))"
+    up = f"pow(10e0, GREATEST({d_big}, 0))"
+    down = f"pow(10e0, GREATEST(-{d_big}, 0))"
+    big_val = (f"CASE WHEN {d_big} >= 0 THEN floor({x} * {up} + 0.5e0) / {up} "
+               f"ELSE floor({x} / {down} + 0.5e0) * {down} END")
     scale = f"{10 ** decimals}e0"
-    return f"floor(({expr}) * {scale} + 0.5e0) / {scale}"
+    return (f"(CASE WHEN NOT isfinite({x}) THEN {x} WHEN {big} THEN {big_val} "
+            f"ELSE floor({x} * {scale} + 0.5e0) / {scale} END)")
 
 
 def money(expr: str) -> str:
