@@ -147,3 +147,75 @@ def q_irr_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     long_cf = _uw(spark, sf_dir).select("deal_id", F.posexplode("cash_flows").alias("t", "cf"))
     out = irr_from_long(long_cf, key="deal_id", period="t", amount="cf")
     return out.select("deal_id", "periods", round_ratio(F.col("irr")).alias("irr"))
+
+
+# ---------------------------------------------------------------------------
+# I1-I16 institutional pro forma with the reference's institutional payload
+# ---------------------------------------------------------------------------
+
+_PF_SRC = """
+pf_src AS (
+  SELECT deal_id, purchase_price AS price, ltv, interest_rate AS rate0, amort_years AS amort0,
+         gross_rent_t12 AS rent1, opex_t12 AS opex1, occupancy_t12 AS occ1, gross_leasable_sqft AS sqft
+  FROM deals)
+"""
+
+
+def _pf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.payloads import INST_PAYLOAD
+    from ..operators.proforma import proforma
+    return proforma(_deals(spark, sf_dir), INST_PAYLOAD)
+
+
+def _pf_oracle(body: str) -> str:
+    from ..operators.payloads import INST_PAYLOAD_SQL
+    return with_deals(body, _PF_SRC, q.proforma_ctes("pf_src", ["deal_id"], INST_PAYLOAD_SQL), recursive=True)
+
+
+_PF_MONEY = ("loan_amount", "equity_required", "exit_value", "selling_costs",
+             "remaining_loan_balance_at_sale", "net_sale_proceeds")
+_PF_RATIO = ("irr", "cash_on_cash_year1", "min_dscr", "debt_yield_year1",
+             "breakeven_occupancy_year1", "ltv_at_exit")
+
+_PF_SUMMARY_SQL = _pf_oracle(f"""
+SELECT sm.deal_id,
+       {', '.join(q.money('sm.' + c) + ' AS ' + c for c in _PF_MONEY)},
+       {q.ratio(q.irr('c.cfs'))} AS irr,
+       {q.ratio('sm.cash_on_cash_year1')} AS cash_on_cash_year1,
+       {q.ratio('c.min_dscr')} AS min_dscr,
+       {q.ratio('sm.debt_yield_year1')} AS debt_yield_year1,
+       {q.ratio('sm.breakeven_occupancy_year1')} AS breakeven_occupancy_year1,
+       {q.ratio('sm.ltv_at_exit')} AS ltv_at_exit
+FROM pf_sum sm JOIN pf_cf c ON sm.deal_id = c.deal_id
+""")
+
+
+@register("proforma_summary", _PF_SUMMARY_SQL)
+def q_proforma_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.common import round_money, round_ratio
+    s = _pf(spark, sf_dir).select("deal_id", "summary.*")
+    return s.select("deal_id", *[round_money(F.col(c)).alias(c) for c in _PF_MONEY],
+                    *[round_ratio(F.col(c)).alias(c) for c in _PF_RATIO])
+
+
+_PF_SCHED_MONEY = ("gross_rent", "effective_rent", "opex", "taxes", "insurance", "capex_reserve",
+                   "replacement_capex", "value_add_capex", "noi", "debt_service", "cash_flow",
+                   "loan_balance_end_year", "refi_value", "refi_new_loan", "refi_payoff", "refi_cost",
+                   "refi_cash_out")
+_PF_SCHED_RATIO = ("occupancy", "dscr", "debt_rate")
+
+_PF_SCHEDULE_SQL = _pf_oracle(f"""
+SELECT deal_id, CAST(year AS INTEGER) AS year,
+       {', '.join(q.money(c) + ' AS ' + c for c in _PF_SCHED_MONEY)},
+       {', '.join(q.ratio(c) + ' AS ' + c for c in _PF_SCHED_RATIO)}
+FROM pf_rows
+""")
+
+
+@register("proforma_schedule", _PF_SCHEDULE_SQL)
+def q_proforma_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.common import round_money, round_ratio
+    from ..operators.proforma import schedule_long
+    s = schedule_long(_pf(spark, sf_dir))
+    return s.select("deal_id", "year", *[round_money(F.col(c)).alias(c) for c in _PF_SCHED_MONEY],
+                    *[round_ratio(F.col(c)).alias(c) for c in _PF_SCHED_RATIO])

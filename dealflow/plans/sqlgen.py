@@ -79,3 +79,143 @@ def irr(cfs: str, steps: int = 100) -> str:
     )
     red = f"list_reduce(range(0, {steps}), lambda s, i: {body}, [0.12e0, 0e0, 1e0])"
     return f"(CASE WHEN ({red})[3] = 1 THEN ({red})[1] END)"
+
+
+def clamp01(x: str) -> str:
+    return f"GREATEST(0e0, LEAST(1e0, {x}))"
+
+
+# Institutional knob names -> SQL expression; values are SQL text (literals or
+# columns of the source relation ``s``).
+INST_DEFAULTS = {
+    "hold": "5", "exit_cap": "6.5e-2", "sell": "2e-2", "io_years": "0",
+    "rent_growth": "3e-2", "opex_infl": "3e-2", "occ_target": "95e-2", "reversion": "2",
+    "taxes1": "0e0", "ins1": "0e0", "taxes_infl": "3e-2", "ins_infl": "4e-2",
+    "reassess": "false", "reassess_rate": "2e-2", "reassess_year": "1",
+    "reserve_psf": "0e0", "repl_psf": "0e0", "value_add": "NULL::MAP(INTEGER, DOUBLE)",
+    "shock_year": "NULL::INTEGER", "shock_drop": "0e0", "recovery": "2",
+    "rate_shock_year": "NULL::INTEGER", "bps": "0e0",
+    "refi_year": "NULL::INTEGER", "refi_ltv": "0e0", "refi_rate": "0e0", "refi_amort": "30", "refi_cost": "1e-2",
+}
+
+
+def proforma_ctes(src: str, keys: list[str], knobs: dict[str, str]) -> str:
+    """Recursive CTE ``pf_y`` (one row per key and year) walking the year loop.
+
+    ``src`` must expose the key columns and price, ltv, rate0, amort0, rent1,
+    opex1, occ1, sqft.  The state carried from year to year is the active
+    loan, its base rate and term, months amortised and the IO horizon, exactly
+    like the reference's loop -- deliberately not the closed form the Spark
+    plan uses, so the check is independent.
+    """
+    k = dict(INST_DEFAULTS, **knobs)
+    key_sel = ", ".join(f"s.{c}" for c in keys)
+    on = " AND ".join(f"y.{c} = s.{c}" for c in keys)
+
+    def occ_base(year: str) -> str:
+        return (f"(CASE WHEN {k['reversion']} <= 1 THEN {k['occ_target']} WHEN {year} <= 1 THEN s.occ1 "
+                f"WHEN {year} >= {k['reversion']} THEN {k['occ_target']} "
+                f"ELSE s.occ1 + (({k['occ_target']} - s.occ1) / ({k['reversion']} - 1)) * ({year} - 1) END)")
+
+    sy, drop, rec = k["shock_year"], k["shock_drop"], f"GREATEST(1, {k['recovery']})"
+    shocked = clamp01(f"{occ_base(sy)} - {drop}")
+    return f"""
+pf_y AS (
+  SELECT {key_sel}, 0 AS year,
+         s.price * s.ltv AS cur_loan, s.rate0 AS cur_rate, s.amort0 AS cur_amort, 0 AS months,
+         LEAST(GREATEST({k['io_years']}, 0), {k['hold']}) AS io,
+         NULL::DOUBLE AS occupancy, NULL::DOUBLE AS gross_rent, NULL::DOUBLE AS effective_rent,
+         NULL::DOUBLE AS opex, NULL::DOUBLE AS taxes, NULL::DOUBLE AS insurance,
+         NULL::DOUBLE AS capex_reserve, NULL::DOUBLE AS replacement_capex, NULL::DOUBLE AS value_add_capex,
+         NULL::DOUBLE AS noi, NULL::DOUBLE AS debt_service, NULL::DOUBLE AS cash_flow, NULL::DOUBLE AS dscr,
+         NULL::DOUBLE AS debt_rate, NULL::DOUBLE AS loan_balance_end_year,
+         NULL::DOUBLE AS refi_value, NULL::DOUBLE AS refi_new_loan, NULL::DOUBLE AS refi_payoff,
+         NULL::DOUBLE AS refi_cost, NULL::DOUBLE AS refi_cash_out, NULL::DOUBLE AS equity_cf
+  FROM {src} s
+  UNION ALL
+  SELECT {key_sel}, Y AS year,
+         CASE WHEN is_refi THEN new_loan ELSE y.cur_loan END AS cur_loan,
+         CASE WHEN is_refi THEN (CASE WHEN {k['refi_rate']} > 0 THEN {k['refi_rate']} ELSE yr_rate END)
+              ELSE y.cur_rate END AS cur_rate,
+         CASE WHEN is_refi THEN {k['refi_amort']} ELSE y.cur_amort END AS cur_amort,
+         CASE WHEN is_refi THEN 0 ELSE months_now END AS months,
+         CASE WHEN is_refi THEN 0 ELSE y.io END AS io,
+         occ AS occupancy, gross AS gross_rent, eff AS effective_rent, opex_y AS opex, taxes_y AS taxes,
+         ins_y AS insurance, reserve AS capex_reserve, repl AS replacement_capex, va AS value_add_capex,
+         noi_y AS noi, ds AS debt_service, cf AS cash_flow,
+         CASE WHEN ds > 0 THEN noi_y / ds ELSE 'inf'::DOUBLE END AS dscr,
+         yr_rate AS debt_rate, bal_end AS loan_balance_end_year,
+         CASE WHEN is_refi THEN refi_val END AS refi_value,
+         CASE WHEN is_refi THEN new_loan END AS refi_new_loan,
+         CASE WHEN is_refi THEN bal_end END AS refi_payoff,
+         CASE WHEN is_refi THEN new_loan * {k['refi_cost']} END AS refi_cost,
+         CASE WHEN is_refi THEN new_loan - bal_end - new_loan * {k['refi_cost']} END AS refi_cash_out,
+         cf + CASE WHEN is_refi THEN new_loan - bal_end - new_loan * {k['refi_cost']} ELSE 0e0 END AS equity_cf
+  FROM (
+    SELECT y.*, y.year + 1 AS Y,
+           {occ_base('(y.year + 1)')} AS ob,
+           CASE WHEN {sy} IS NULL OR {sy} = 0 OR {drop} <= 0 OR (y.year + 1) < {sy} THEN ob
+                WHEN (y.year + 1) = {sy} THEN {clamp01(f'ob - {drop}')}
+                WHEN (y.year + 1) - {sy} >= {rec} THEN {k['occ_target']}
+                ELSE {clamp01(f"{shocked} + (({k['occ_target']} - {shocked}) / {rec}) * ((y.year + 1) - {sy})")} END AS occ_s,
+           {clamp01('occ_s')} AS occ,
+           s.rent1 * pow(1e0 + {k['rent_growth']}, y.year) AS gross,
+           gross * occ AS eff,
+           s.opex1 * pow(1e0 + {k['opex_infl']}, y.year) AS opex_y,
+           (CASE WHEN {k['reassess']} AND (y.year + 1) >= {k['reassess_year']} THEN s.price * {k['reassess_rate']}
+                 ELSE {k['taxes1']} END) * pow(1e0 + {k['taxes_infl']}, y.year) AS taxes_y,
+           {k['ins1']} * pow(1e0 + {k['ins_infl']}, y.year) AS ins_y,
+           {k['reserve_psf']} * s.sqft AS reserve,
+           {k['repl_psf']} * s.sqft AS repl,
+           COALESCE(({k['value_add']})[CAST(y.year + 1 AS INTEGER)], 0e0) AS va,
+           eff - opex_y - taxes_y - ins_y - reserve - repl AS noi_y,
+           CASE WHEN {k['rate_shock_year']} IS NOT NULL AND {k['rate_shock_year']} <> 0
+                     AND (y.year + 1) >= {k['rate_shock_year']} AND {k['bps']} <> 0
+                THEN y.cur_rate + {k['bps']} / 10000e0 ELSE y.cur_rate END AS yr_rate,
+           CASE WHEN (y.year + 1) <= y.io THEN y.cur_loan * yr_rate
+                ELSE {ads('y.cur_loan', 'yr_rate', 'y.cur_amort')} END AS ds,
+           y.months + CASE WHEN (y.year + 1) > y.io THEN 12 ELSE 0 END AS months_now,
+           CASE WHEN months_now > 0 THEN {balance('y.cur_loan', 'yr_rate', 'y.cur_amort', 'months_now')}
+                ELSE y.cur_loan END AS bal_end,
+           noi_y - ds - va AS cf,
+           ({k['refi_year']} IS NOT NULL AND {k['refi_year']} <> 0 AND {k['refi_ltv']} <> 0
+             AND (y.year + 1) = {k['refi_year']} AND {k['refi_ltv']} > 0) AS is_refi,
+           {inf_div('noi_y', k['exit_cap'])} AS refi_val,
+           refi_val * {k['refi_ltv']} AS new_loan
+    FROM pf_y y JOIN {src} s ON {on}
+    WHERE y.year < {k['hold']}
+  ) y JOIN {src} s ON {on}
+),
+pf_rows AS (SELECT * FROM pf_y WHERE year >= 1),
+pf_last AS (
+  SELECT {', '.join('p.' + c for c in keys)}, p.noi AS noi_exit, p.loan_balance_end_year AS bal_sale
+  FROM pf_rows p JOIN {src} s ON {' AND '.join(f'p.{c} = s.{c}' for c in keys)} WHERE p.year = {k['hold']}),
+pf_first AS (SELECT * FROM pf_rows WHERE year = 1),
+pf_sum AS (
+  SELECT {', '.join('l.' + c for c in keys)},
+         s.price * s.ltv AS loan_amount, s.price - s.price * s.ltv AS equity_required,
+         {inf_div('l.noi_exit', k['exit_cap'])} AS exit_value,
+         {inf_div('l.noi_exit', k['exit_cap'])} * {k['sell']} AS selling_costs,
+         l.bal_sale AS remaining_loan_balance_at_sale,
+         {inf_div('l.noi_exit', k['exit_cap'])} - {inf_div('l.noi_exit', k['exit_cap'])} * {k['sell']} - l.bal_sale
+           AS net_sale_proceeds,
+         {inf_div('f.cash_flow', 's.price - s.price * s.ltv')} AS cash_on_cash_year1,
+         {inf_div('f.noi', 's.price * s.ltv')} AS debt_yield_year1,
+         {clamp01(inf_div('f.opex + f.taxes + f.insurance + f.capex_reserve + f.replacement_capex + f.debt_service', 'f.gross_rent'))}
+           AS breakeven_occupancy_year1,
+         CASE WHEN {inf_div('l.noi_exit', k['exit_cap'])} > 0 AND isfinite({inf_div('l.noi_exit', k['exit_cap'])})
+              THEN l.bal_sale / {inf_div('l.noi_exit', k['exit_cap'])} ELSE 'inf'::DOUBLE END AS ltv_at_exit
+  FROM pf_last l JOIN {src} s ON {' AND '.join(f'l.{c} = s.{c}' for c in keys)}
+       JOIN pf_first f ON {' AND '.join(f'l.{c} = f.{c}' for c in keys)}
+),
+pf_cf AS (
+  SELECT {', '.join('p.' + c for c in keys)},
+         list_concat([-(s.price - s.price * s.ltv)],
+                      list(p.equity_cf + CASE WHEN p.year = {k['hold']} THEN sm.net_sale_proceeds ELSE 0e0 END
+                           ORDER BY p.year)) AS cfs,
+         min(p.dscr) AS min_dscr
+  FROM pf_rows p JOIN {src} s ON {' AND '.join(f'p.{c} = s.{c}' for c in keys)}
+       JOIN pf_sum sm ON {' AND '.join(f'p.{c} = sm.{c}' for c in keys)}
+  GROUP BY {', '.join('p.' + c for c in keys)}, s.price, s.ltv
+)
+"""

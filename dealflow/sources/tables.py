@@ -131,7 +131,7 @@ deals AS (
 """
 
 
-def with_deals(sql_body: str, *extra_ctes: str) -> str:
+def with_deals(sql_body: str, *extra_ctes: str, recursive: bool = False) -> str:
     """Prefix an oracle query with the ``deals`` CTE (and optional more CTEs)."""
-    ctes = ",\n".join([DEALS_SQL.strip(), *[c.strip() for c in extra_ctes]])
-    return f"WITH {ctes}\n{sql_body}"
+    ctes = ",\n".join([DEALS_SQL.strip(), *[c.strip().rstrip(",") for c in extra_ctes]])
+    return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{sql_body}"
