@@ -30,29 +30,28 @@ def div_or_inf(num: Column, den: Column) -> Column:
 
 
 def safe_div(num: Column, den: Column) -> Column:
-    """IEEE-style division: x/0 -> +/-inf or NaN instead of an ANSI error."""
-    return (F.when(den != 0, num / F.when(den != 0, den))
-            .when(num > 0, lit_inf())
-            .when(num < 0, -lit_inf())
-            .otherwise(lit_nan()))
+    """``num / den``, null where ``den == 0`` (the reference raises there).
+
+    ``nullif`` keeps the ANSI divide-by-zero check from firing without
+    repeating ``num`` in the expression tree.
+    """
+    return num / F.nullif(den, F.lit(0.0))
 
 
 def clamp(c: Column, lo, hi) -> Column:
     """``max(lo, min(hi, c))`` exactly as Python evaluates it.
 
-    Python's ``min(hi, x)`` keeps ``hi`` unless ``x < hi``; a NaN therefore
-    clamps to ``hi``.  Spark orders NaN above every number, so ``c < hi`` is
-    false for NaN as well and the two agree.
+    Python's ``min(hi, nan)`` is ``hi``; Spark orders NaN above every number,
+    so ``least(hi, nan)`` is ``hi`` as well, and the two agree on every input.
     """
     lo_c = lo if isinstance(lo, Column) else F.lit(float(lo))
     hi_c = hi if isinstance(hi, Column) else F.lit(float(hi))
-    inner = F.when(c < hi_c, c).otherwise(hi_c)
-    return F.when(inner > lo_c, inner).otherwise(lo_c)
+    return F.greatest(lo_c, F.least(hi_c, c))
 
 
 def floor_zero(c: Column) -> Column:
-    """``max(c, 0.0)`` as Python evaluates it (NaN stays NaN)."""
-    return F.when(F.lit(0.0) > c, F.lit(0.0)).otherwise(c)
+    """``max(c, 0.0)`` as Python evaluates it (NaN stays NaN in both)."""
+    return F.greatest(c, F.lit(0.0))
 
 
 def round_to(c: Column, decimals: int, max_sig: int = 9) -> Column:
