@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.irr import irr_struct
+from ..functions.irr import irr
 
 
 def irr_from_long(df: DataFrame, key: str, period: str, amount: str) -> DataFrame:
@@ -21,5 +21,5 @@ def irr_from_long(df: DataFrame, key: str, period: str, amount: str) -> DataFram
     )
     cfs = F.transform(F.col("_s"), lambda x: x["cf"])
     return series.select(key, "periods", cfs.alias("cash_flows")).withColumn(
-        "_irr", irr_struct("cash_flows")).select(
-        key, "periods", "cash_flows", F.col("_irr.irr").alias("irr"), F.col("_irr.ok").alias("irr_ok"))
+        "_irr", irr("cash_flows")).select(
+        key, "periods", "cash_flows", F.col("_irr").alias("irr"), F.col("_irr").isNotNull().alias("irr_ok"))

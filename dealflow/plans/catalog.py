@@ -219,3 +219,134 @@ def q_proforma_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = schedule_long(_pf(spark, sf_dir))
     return s.select("deal_id", "year", *[round_money(F.col(c)).alias(c) for c in _PF_SCHED_MONEY],
                     *[round_ratio(F.col(c)).alias(c) for c in _PF_SCHED_RATIO])
+
+
+# ---------------------------------------------------------------------------
+# Scenario grids (reference smoke-test axes, per deal)
+#   simple: prices [0.96 p, p] x exit caps [6.25%, 6.75%], max 50, by cash_on_cash
+#   institutional: + rent growth [2%, 3%], occupancy drops [0, 10%], rate shock
+#   [0, 150] bps -> 32 combinations, max 40, top 5 by irr, institutional payload
+# ---------------------------------------------------------------------------
+
+def _grid_deals(spark: SparkSession, sf_dir: str, institutional: bool) -> DataFrame:
+    d = _deals(spark, sf_dir)
+    axes = {
+        "purchase_prices": F.array(F.col("purchase_price") * F.lit(0.96), F.col("purchase_price")),
+        "exit_cap_rates": F.array(F.lit(0.0625), F.lit(0.0675)),
+    }
+    if institutional:
+        axes.update({
+            "rent_growths": F.array(F.lit(0.02), F.lit(0.03)),
+            "occupancy_shock_drops": F.array(F.lit(0.0), F.lit(0.10)),
+            "rate_shock_bps_values": F.array(F.lit(0.0), F.lit(150.0)),
+        })
+    return d.withColumns(axes)
+
+
+_WS_MONEY = ("purchase_price", "predicted_noi_next12", "loan_amount", "equity_required", "annual_debt_service",
+             "annual_cash_flow", "estimated_exit_value", "estimated_exit_proceeds_after_debt_and_costs")
+_WS_RATIO = ("ltv", "interest_rate", "exit_cap_rate", "selling_cost_pct", "cash_on_cash")
+
+
+@register("whatif_simple")
+def q_whatif_simple(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.common import round_money, round_ratio
+    from ..operators.scenario import column_predictor, whatif_simple
+    d = _grid_deals(spark, sf_dir, institutional=False)
+    out = whatif_simple(d, column_predictor(F.col("noi_next12")), max_scenarios=50, sort_by="cash_on_cash")
+    return out.select("deal_id", "rank", "scenario_ix", "grid_size", "truncated", "amort_years",
+                      *[round_money(F.col(c)).alias(c) for c in _WS_MONEY],
+                      *[round_ratio(F.col(c)).alias(c) for c in _WS_RATIO])
+
+
+def _ws_sql() -> str:
+    ads = q.ads("pp * ltv", "interest_rate", "amort_years")
+    ev = q.inf_div("noi_next12", "ec")
+    coc = q.inf_div(f"noi_next12 - {ads}", "pp - pp * ltv")
+    return with_deals(f"""
+SELECT deal_id, CAST(row_number() OVER (PARTITION BY deal_id ORDER BY isnan(coc_raw), coc_raw DESC NULLS LAST, ix)
+                AS INTEGER) AS rank,
+       ix AS scenario_ix, grid_size, grid_size > 50 AS truncated, amort_years,
+       {q.money('pp')} AS purchase_price, {q.money('noi_next12')} AS predicted_noi_next12,
+       {q.money('pp * ltv')} AS loan_amount, {q.money('pp - pp * ltv')} AS equity_required,
+       {q.money(ads)} AS annual_debt_service, {q.money(f'noi_next12 - {ads}')} AS annual_cash_flow,
+       {q.money(ev)} AS estimated_exit_value,
+       {q.money(f'{ev} - {ev} * 2e-2 - pp * ltv')} AS estimated_exit_proceeds_after_debt_and_costs,
+       {q.ratio('ltv')} AS ltv, {q.ratio('interest_rate')} AS interest_rate, {q.ratio('ec')} AS exit_cap_rate,
+       {q.ratio('2e-2')} AS selling_cost_pct, {q.ratio('coc_raw')} AS cash_on_cash
+FROM (
+  SELECT g.*, {coc} AS coc_raw FROM (
+    SELECT a.*, pl[i1 + 1] AS pp, el[i4 + 1] AS ec, i1 * len(el) + i4 AS ix,
+           CAST(len(pl) * len(el) AS BIGINT) AS grid_size
+    FROM (SELECT *, list_sort(list_distinct([purchase_price * 96e-2, purchase_price])) AS pl,
+                    list_sort(list_distinct([625e-4, 675e-4])) AS el FROM deals) a,
+         range(0, len(a.pl)) r1(i1), range(0, len(a.el)) r4(i4)
+  ) g WHERE ix < 50
+)
+""")
+
+
+ORACLES["whatif_simple"] = _ws_sql()
+
+_WI_MONEY = ("purchase_price", "predicted_noi_next12", "loan_amount", "equity_required", "exit_value",
+             "selling_costs", "remaining_loan_balance_at_sale", "net_sale_proceeds", "capex_reserve_per_sqft",
+             "replacement_capex_per_sqft", "rate_shock_bps")
+_WI_RATIO = ("ltv", "interest_rate", "exit_cap_rate", "rent_growth", "occupancy_shock_drop", "irr",
+             "cash_on_cash_year1", "min_dscr", "debt_yield_year1", "breakeven_occupancy_year1", "ltv_at_exit")
+
+
+@register("whatif_inst_topn")
+def q_whatif_inst_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.common import round_money, round_ratio
+    from ..operators.payloads import INST_PAYLOAD
+    from ..operators.scenario import column_predictor, whatif_inst
+    d = _grid_deals(spark, sf_dir, institutional=True)
+    res = whatif_inst(d, column_predictor(F.col("noi_next12")), INST_PAYLOAD,
+                      max_scenarios=40, top_n=5, sort_by="irr")
+    return res.scenarios.select("deal_id", "rank", "scenario_ix", "grid_size", "truncated",
+                                *[round_money(F.col(c)).alias(c) for c in _WI_MONEY],
+                                *[round_ratio(F.col(c)).alias(c) for c in _WI_RATIO])
+
+
+def _wi_sql() -> str:
+    from ..operators.payloads import INST_PAYLOAD_SQL
+    knobs = dict(INST_PAYLOAD_SQL, exit_cap="s.ec", rent_growth="s.rg", shock_drop="s.od", bps="s.bps")
+    src = """
+wi_src AS (
+  SELECT deal_id, ix, grid_size, noi_next12, price, ltv, rate0, amort0, rent1, opex1, occ1, sqft, ec, rg, od, bps
+  FROM (
+    SELECT d.deal_id, d.noi_next12, d.ltv, d.interest_rate AS rate0, d.amort_years AS amort0,
+           d.gross_rent_t12 AS rent1, d.opex_t12 AS opex1, d.occupancy_t12 AS occ1, d.gross_leasable_sqft AS sqft,
+           [d.purchase_price * 96e-2, d.purchase_price][i1 + 1] AS price,
+           [625e-4, 675e-4][i4 + 1] AS ec, [2e-2, 3e-2][i5 + 1] AS rg, [0e0, 10e-2][i8 + 1] AS od,
+           [0e0, 150e0][i9 + 1] AS bps,
+           (((i1 * 2 + i4) * 2 + i5) * 2 + i8) * 2 + i9 AS ix, CAST(32 AS BIGINT) AS grid_size
+    FROM deals d, range(0, 2) a(i1), range(0, 2) b(i4), range(0, 2) c(i5), range(0, 2) e(i8), range(0, 2) f(i9)
+  ) WHERE ix < 40)
+"""
+    body = f"""
+SELECT * EXCLUDE (irr_raw) FROM (
+  SELECT sm.deal_id,
+         CAST(row_number() OVER (PARTITION BY sm.deal_id ORDER BY isnan(irr_raw), irr_raw DESC NULLS LAST, sm.ix)
+              AS INTEGER) AS rank,
+         sm.ix AS scenario_ix, s.grid_size, s.grid_size > 40 AS truncated,
+         {q.money('s.price')} AS purchase_price, {q.money('s.noi_next12')} AS predicted_noi_next12,
+         {', '.join(q.money('sm.' + c) + ' AS ' + c for c in _PF_MONEY)},
+         {q.money('25e-2')} AS capex_reserve_per_sqft, {q.money('15e-2')} AS replacement_capex_per_sqft,
+         {q.money('s.bps')} AS rate_shock_bps,
+         {q.ratio('s.ltv')} AS ltv, {q.ratio('s.rate0')} AS interest_rate, {q.ratio('s.ec')} AS exit_cap_rate,
+         {q.ratio('s.rg')} AS rent_growth, {q.ratio('s.od')} AS occupancy_shock_drop,
+         {q.ratio('irr_raw')} AS irr, {q.ratio('sm.cash_on_cash_year1')} AS cash_on_cash_year1,
+         {q.ratio('c.min_dscr')} AS min_dscr, {q.ratio('sm.debt_yield_year1')} AS debt_yield_year1,
+         {q.ratio('sm.breakeven_occupancy_year1')} AS breakeven_occupancy_year1,
+         {q.ratio('sm.ltv_at_exit')} AS ltv_at_exit, irr_raw
+  FROM pf_sum sm
+  JOIN (SELECT *, {q.irr('cfs')} AS irr_raw FROM pf_cf) c ON sm.deal_id = c.deal_id AND sm.ix = c.ix
+  JOIN wi_src s ON sm.deal_id = s.deal_id AND sm.ix = s.ix
+  WHERE irr_raw IS NOT NULL
+) WHERE rank <= 5
+"""
+    return with_deals(body, src, q.proforma_ctes("wi_src", ["deal_id", "ix"], knobs), recursive=True)
+
+
+ORACLES["whatif_inst_topn"] = _wi_sql()
