@@ -350,3 +350,130 @@ SELECT * EXCLUDE (irr_raw) FROM (
 
 
 ORACLES["whatif_inst_topn"] = _wi_sql()
+
+
+# ---------------------------------------------------------------------------
+# P1-P5 quarantine over a dirty deals view; P11 ROI from feature maps
+#   dirty: ltv := 1.5 when k%13=0, amort_years := 0 when k%17=0,
+#          property_type := NULL when k%19=0 (k = order key); all rows kept
+# ---------------------------------------------------------------------------
+
+def _order_key() -> "F.Column":
+    return F.substring("deal_id", 2, 9).cast("bigint")
+
+
+def dirty_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = _order_key()
+    d = _deals(spark, sf_dir)
+    return d.withColumns({
+        "ltv": F.when(k % 13 == 0, F.lit(1.5)).otherwise(F.col("ltv")),
+        "amort_years": F.when(k % 17 == 0, F.lit(0)).otherwise(F.col("amort_years")),
+        "property_type": F.when(k % 19 == 0, F.lit(None).cast("string")).otherwise(F.col("property_type")),
+    })
+
+
+_DIRTY_SQL = """
+dirty AS (
+  SELECT * REPLACE (
+    CASE WHEN CAST(substr(deal_id, 2) AS BIGINT) % 13 = 0 THEN 1.5e0 ELSE ltv END AS ltv,
+    CASE WHEN CAST(substr(deal_id, 2) AS BIGINT) % 17 = 0 THEN 0 ELSE amort_years END AS amort_years,
+    CASE WHEN CAST(substr(deal_id, 2) AS BIGINT) % 19 = 0 THEN NULL ELSE property_type END AS property_type)
+  FROM deals)
+"""
+
+
+@register("validate_quarantine")
+def q_validate_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.validate import validate
+    v = validate(dirty_deals(spark, sf_dir))
+    return v.select("deal_id", "status", F.size("errors").cast("int").alias("n_errors"),
+                    F.array_join("errors", "; ").alias("errors"),
+                    F.col("exit_cap_rate").alias("exit_cap_rate"),
+                    F.col("selling_cost_pct").alias("selling_cost_pct"))
+
+
+ORACLES["validate_quarantine"] = with_deals("""
+SELECT deal_id, CASE WHEN len(errs) = 0 THEN 'accepted' ELSE 'quarantined' END AS status,
+       CAST(len(errs) AS INTEGER) AS n_errors, array_to_string(errs, '; ') AS errors,
+       6.5e-2 AS exit_cap_rate, 2e-2 AS selling_cost_pct
+FROM (
+  SELECT deal_id, list_filter([
+      CASE WHEN property_type IS NULL THEN 'property_type is required' END,
+      CASE WHEN city IS NULL THEN 'city is required' END,
+      CASE WHEN state IS NULL THEN 'state is required' END,
+      CASE WHEN zip IS NULL THEN 'zip is required' END,
+      CASE WHEN year_built IS NULL THEN 'year_built is required' END,
+      CASE WHEN gross_leasable_sqft IS NULL THEN 'gross_leasable_sqft is required' END,
+      CASE WHEN purchase_price IS NULL THEN 'purchase_price is required' END,
+      CASE WHEN noi_t12 IS NULL THEN 'noi_t12 is required' END,
+      CASE WHEN occupancy_t12 IS NULL THEN 'occupancy_t12 is required' END,
+      CASE WHEN opex_t12 IS NULL THEN 'opex_t12 is required' END,
+      CASE WHEN gross_rent_t12 IS NULL THEN 'gross_rent_t12 is required' END,
+      CASE WHEN ltv IS NULL THEN 'ltv is required' END,
+      CASE WHEN interest_rate IS NULL THEN 'interest_rate is required' END,
+      CASE WHEN amort_years IS NULL THEN 'amort_years is required' END,
+      CASE WHEN ltv < 0 OR ltv > 1 OR isnan(ltv) THEN 'ltv must be between 0.0 and 1.0' END,
+      CASE WHEN interest_rate < 0 OR interest_rate > 1 OR isnan(interest_rate)
+           THEN 'interest_rate must be between 0.0 and 1.0' END,
+      CASE WHEN amort_years < 1 OR amort_years > 40 THEN 'amort_years must be between 1 and 40' END
+    ], x -> x IS NOT NULL) AS errs
+  FROM dirty)
+""", _DIRTY_SQL).replace("x -> x IS NOT NULL", "lambda x: x IS NOT NULL")
+
+
+@register("conditional_roi_map")
+def q_conditional_roi_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROI only when the feature map carries all four financing inputs.
+
+    Maps: amort_years key absent when k%7=0, ltv value null when k%11=0.
+    """
+    from ..functions.common import round_money, round_ratio
+    from ..functions.loan import roi_columns
+    from ..operators.validate import roi_inputs_from_map
+    k = _order_key()
+    d = _deals(spark, sf_dir)
+    base = ["purchase_price", F.col("purchase_price").cast("string"),
+            "ltv", F.when(k % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("ltv").cast("string")),
+            "interest_rate", F.col("interest_rate").cast("string")]
+    full = F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in base],
+                        F.lit("amort_years"), F.col("amort_years").cast("string"))
+    short = F.create_map(*[F.lit(x) if isinstance(x, str) else x for x in base])
+    feats = d.select("deal_id", F.col("noi_next12").alias("predicted_noi_next12"),
+                     F.when(k % 7 == 0, short).otherwise(full).alias("features"))
+    typed, complete = roi_inputs_from_map(F.col("features"))
+    roi = roi_columns(typed["purchase_price"], F.col("predicted_noi_next12"), typed["ltv"],
+                      typed["interest_rate"], typed["amort_years"], F.lit(0.065), F.lit(0.02))
+    return feats.select(
+        "deal_id", complete.alias("has_roi"), round_money(F.col("predicted_noi_next12")).alias("predicted_noi_next12"),
+        *[F.when(complete, round_money(roi[c])).alias(c) for c in
+          ("loan_amount", "annual_debt_service", "annual_cash_flow", "estimated_exit_value")],
+        F.when(complete, round_ratio(roi["cash_on_cash"])).alias("cash_on_cash"),
+    )
+
+
+def _crm_sql() -> str:
+    pp, ltv, ir, am = ("TRY_CAST(m['purchase_price'] AS DOUBLE)", "TRY_CAST(m['ltv'] AS DOUBLE)",
+                       "TRY_CAST(m['interest_rate'] AS DOUBLE)", "CAST(TRY_CAST(m['amort_years'] AS DOUBLE) AS INTEGER)")
+    ads = q.ads(f"{pp} * {ltv}", ir, am)
+    ok = f"({pp} IS NOT NULL AND {ltv} IS NOT NULL AND {ir} IS NOT NULL AND {am} IS NOT NULL)"
+    return with_deals(f"""
+SELECT deal_id, {ok} AS has_roi, {q.money('noi_next12')} AS predicted_noi_next12,
+       CASE WHEN {ok} THEN {q.money(f'{pp} * {ltv}')} END AS loan_amount,
+       CASE WHEN {ok} THEN {q.money(ads)} END AS annual_debt_service,
+       CASE WHEN {ok} THEN {q.money(f'noi_next12 - {ads}')} END AS annual_cash_flow,
+       CASE WHEN {ok} THEN {q.money(q.inf_div('noi_next12', '6.5e-2'))} END AS estimated_exit_value,
+       CASE WHEN {ok} THEN {q.ratio(q.inf_div(f'noi_next12 - {ads}', f'{pp} - {pp} * {ltv}'))} END AS cash_on_cash
+FROM (
+  SELECT deal_id, noi_next12,
+         CASE WHEN CAST(substr(deal_id, 2) AS BIGINT) % 7 = 0
+              THEN MAP {{'purchase_price': CAST(purchase_price AS VARCHAR), 'ltv': lv,
+                         'interest_rate': CAST(interest_rate AS VARCHAR)}}
+              ELSE MAP {{'purchase_price': CAST(purchase_price AS VARCHAR), 'ltv': lv,
+                         'interest_rate': CAST(interest_rate AS VARCHAR), 'amort_years': CAST(amort_years AS VARCHAR)}}
+         END AS m
+  FROM (SELECT *, CASE WHEN CAST(substr(deal_id, 2) AS BIGINT) % 11 = 0 THEN NULL
+                       ELSE CAST(ltv AS VARCHAR) END AS lv FROM deals))
+""")
+
+
+ORACLES["conditional_roi_map"] = _crm_sql()
