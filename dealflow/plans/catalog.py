@@ -477,3 +477,158 @@ FROM (
 
 
 ORACLES["conditional_roi_map"] = _crm_sql()
+
+
+# ---------------------------------------------------------------------------
+# T1-T4 splits and folds, A1-A4 aggregates (naive predictor: noi_t12)
+# ---------------------------------------------------------------------------
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.split import time_split
+    return time_split(_deals(spark, sf_dir))
+
+
+_SPLIT_CTE = """
+ordered AS (SELECT *, row_number() OVER (ORDER BY asof_date, deal_id) - 1 AS row_ix, count(*) OVER () AS n FROM deals),
+cut AS (SELECT GREATEST(1, LEAST(CAST(floor(max(n) * (1e0 - 2e-1)) AS BIGINT), max(n) - 1)) AS cut FROM ordered),
+split AS (SELECT o.*, CASE WHEN o.row_ix < c.cut THEN 'train' ELSE 'test' END AS split FROM ordered o, cut c)
+"""
+_FOLD_CTE = """
+ntr AS (SELECT count(*) AS n_train FROM split WHERE split = 'train'),
+kk AS (SELECT n_train, GREATEST(2, LEAST(8, n_train - 1)) AS k FROM ntr),
+bounds AS (SELECT f AS fold, n_train - (k - f + 1) * (n_train // (k + 1)) AS vs,
+                  n_train - (k - f) * (n_train // (k + 1)) AS ve
+           FROM kk, range(1, k + 1) t(f)),
+folds AS (SELECT s.*, b.fold, CASE WHEN s.row_ix < b.vs THEN 'train' ELSE 'val' END AS role
+          FROM split s JOIN bounds b ON s.row_ix < b.ve WHERE s.split = 'train')
+"""
+
+
+@register("time_split", with_deals("SELECT deal_id, CAST(asof_date AS VARCHAR) AS asof_date, CAST(row_ix AS BIGINT) AS row_ix, split FROM split",
+                                   _SPLIT_CTE))
+def q_time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _split(spark, sf_dir).select("deal_id", F.col("asof_date").cast("string").alias("asof_date"), "row_ix", "split")
+
+
+@register("ts_folds", with_deals("SELECT deal_id, CAST(row_ix AS BIGINT) AS row_ix, CAST(fold AS INTEGER) AS fold, role "
+                                 "FROM folds", _SPLIT_CTE, _FOLD_CTE))
+def q_ts_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.split import walk_forward
+    return walk_forward(_split(spark, sf_dir)).select("deal_id", "row_ix", F.col("fold").cast("int"), "role")
+
+
+def _metric_sql(e: str, y: str, n: str, rounded: bool = True) -> str:
+    r = q.ratio if rounded else (lambda x: x)
+    return (f"{r(f'avg(abs({e}))')} AS mae, {r(f'sqrt(avg(({e}) * ({e})))')} AS rmse, "
+            f"{r(f'CASE WHEN {n} >= 2 AND sum(({y}) * ({y})) - sum({y}) * sum({y}) / {n} <> 0 THEN 1e0 - sum(({e}) * ({e})) / (sum(({y}) * ({y})) - sum({y}) * sum({y}) / {n}) END')} AS r2")
+
+
+_FOLD_REPORT_SQL = with_deals(f"""
+SELECT CAST(fold AS INTEGER) AS fold, CAST(count_if(role = 'train') AS BIGINT) AS train_n,
+       CAST(count_if(role = 'val') AS BIGINT) AS val_n,
+       CAST(min(CASE WHEN role = 'train' THEN asof_date END) AS VARCHAR) AS train_start,
+       CAST(max(CASE WHEN role = 'train' THEN asof_date END) AS VARCHAR) AS train_end,
+       CAST(min(CASE WHEN role = 'val' THEN asof_date END) AS VARCHAR) AS val_start,
+       CAST(max(CASE WHEN role = 'val' THEN asof_date END) AS VARCHAR) AS val_end,
+       {_metric_sql("CASE WHEN role = 'val' THEN noi_next12 - noi_t12 END", "CASE WHEN role = 'val' THEN noi_next12 END",
+                    "CAST(count_if(role = 'val') AS DOUBLE)")}
+FROM folds GROUP BY fold
+""", _SPLIT_CTE, _FOLD_CTE)
+
+
+def _fold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.split import fold_report, walk_forward
+    return fold_report(walk_forward(_split(spark, sf_dir)), pred_col="noi_t12")
+
+
+@register("fold_report", _FOLD_REPORT_SQL)
+def q_fold_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.common import round_ratio
+    r = _fold_report(spark, sf_dir)
+    return r.select(F.col("fold").cast("int"), "train_n", "val_n",
+                    *[F.col(c).cast("string").alias(c) for c in ("train_start", "train_end", "val_start", "val_end")],
+                    *[round_ratio(F.col(c)).alias(c) for c in ("mae", "rmse", "r2")])
+
+
+_PROFILE_STATS = ("target_mean", "target_std", "target_min", "target_p25", "target_p50", "target_p75", "target_max")
+
+
+@register("split_profile", with_deals(f"""
+SELECT split, count(*) AS rows, CAST(min(asof_date) AS VARCHAR) AS date_min, CAST(max(asof_date) AS VARCHAR) AS date_max,
+       count(noi_next12) AS target_count,
+       {q.money('avg(noi_next12)')} AS target_mean, {q.money('stddev_samp(noi_next12)')} AS target_std,
+       {q.money('min(noi_next12)')} AS target_min,
+       {q.money('quantile_cont(noi_next12, 0.25)')} AS target_p25,
+       {q.money('quantile_cont(noi_next12, 0.5)')} AS target_p50,
+       {q.money('quantile_cont(noi_next12, 0.75)')} AS target_p75,
+       {q.money('max(noi_next12)')} AS target_max
+FROM split GROUP BY split
+""", _SPLIT_CTE))
+def q_split_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.common import round_money
+    from ..operators.split import split_profile
+    p = split_profile(_split(spark, sf_dir))
+    return p.select("split", "rows", F.col("date_min").cast("string").alias("date_min"),
+                    F.col("date_max").cast("string").alias("date_max"), "target_count",
+                    *[round_money(F.col(c)).alias(c) for c in _PROFILE_STATS])
+
+
+@register("regression_metrics", with_deals(f"""
+SELECT split, 'naive_t12' AS model, count(*) AS n,
+       {_metric_sql('noi_next12 - noi_t12', 'noi_next12', 'CAST(count(*) AS DOUBLE)')}
+FROM split GROUP BY split
+""", _SPLIT_CTE))
+def q_regression_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3 per split for the naive predictor (next-12 NOI = trailing NOI)."""
+    from ..functions.common import round_ratio
+    from ..operators.metrics import regression_metrics
+    m = regression_metrics(_split(spark, sf_dir), "noi_next12", "noi_t12", by=("split",))
+    return m.select("split", F.lit("naive_t12").alias("model"), "n",
+                    *[round_ratio(F.col(c)).alias(c) for c in ("mae", "rmse", "r2")])
+
+
+@register("cv_summary", with_deals(f"""
+SELECT 'naive_t12' AS model, {q.ratio('avg(mae)')} AS mae_mean, {q.ratio('stddev_samp(mae)')} AS mae_std,
+       {q.ratio('avg(rmse)')} AS rmse_mean, {q.ratio('stddev_samp(rmse)')} AS rmse_std
+FROM fr
+""", _SPLIT_CTE, _FOLD_CTE, f"""
+fr AS (SELECT fold, {_metric_sql("CASE WHEN role = 'val' THEN noi_next12 - noi_t12 END",
+                                 "CASE WHEN role = 'val' THEN noi_next12 END",
+                                 "CAST(count_if(role = 'val') AS DOUBLE)", rounded=False)} FROM folds GROUP BY fold)
+"""))
+def q_cv_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4: mean and sample std of the fold metrics per model."""
+    from ..functions.common import round_ratio
+    r = _fold_report(spark, sf_dir).withColumn("model", F.lit("naive_t12"))
+    s = r.groupBy("model").agg(F.avg("mae").alias("mae_mean"), F.stddev_samp("mae").alias("mae_std"),
+                               F.avg("rmse").alias("rmse_mean"), F.stddev_samp("rmse").alias("rmse_std"))
+    return s.select("model", *[round_ratio(F.col(c)).alias(c) for c in ("mae_mean", "mae_std", "rmse_mean", "rmse_std")])
+
+
+@register("dataset_profile", with_deals("""
+SELECT count(*) AS row_count, CAST(18 AS INTEGER) AS n_columns,
+       'deal_id,asof_date,property_type,city,state,zip,year_built,gross_leasable_sqft,units,purchase_price,noi_t12,occupancy_t12,opex_t12,gross_rent_t12,ltv,interest_rate,amort_years,noi_next12' AS columns,
+       CAST(min(asof_date) AS VARCHAR) AS asof_date_min, CAST(max(asof_date) AS VARCHAR) AS asof_date_max
+FROM deals
+"""))
+def q_dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.metrics import dataset_profile
+    p = dataset_profile(_deals(spark, sf_dir)).drop("generated_at_utc")
+    return p.withColumns({c: F.col(c).cast("string") for c in ("asof_date_min", "asof_date_max")})
+
+
+_FP_COLS_SQL = ("concat_ws('|', deal_id, CAST(asof_date AS VARCHAR), coalesce(property_type, ''), city, state, zip, "
+                "CAST(year_built AS VARCHAR), CAST(amort_years AS VARCHAR))")
+
+
+@register("row_fingerprint", with_deals(f"""
+SELECT count(*) AS n_rows,
+       CAST(sum(CAST(('0x' || substr(sha256({_FP_COLS_SQL}), 1, 15))::UBIGINT AS DECIMAL(38,0))) AS VARCHAR) AS fingerprint
+FROM deals
+"""))
+def q_row_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2 (table form): order-independent sum of per-row SHA-256 prefixes."""
+    from ..operators.metrics import table_fingerprint
+    cols = ["deal_id", F.col("asof_date").cast("string"), F.coalesce("property_type", F.lit("")), "city", "state",
+            "zip", F.col("year_built").cast("string"), F.col("amort_years").cast("string")]
+    return table_fingerprint(_deals(spark, sf_dir), cols)
