@@ -632,3 +632,133 @@ def q_row_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["deal_id", F.col("asof_date").cast("string"), F.coalesce("property_type", F.lit("")), "city", "state",
             "zip", F.col("year_built").cast("string"), F.col("amort_years").cast("string")]
     return table_fingerprint(_deals(spark, sf_dir), cols)
+
+
+# ---------------------------------------------------------------------------
+# X1, X2, X3-X5, X7 over `documents`
+#   files: document d is stored as doc_<d><ext>, ext by language
+#          (en .txt, fr .md, de .log, other .pdf = not a text format)
+#   path lists by d % 4: none | comma list | ';' and newline list | JSON list
+# ---------------------------------------------------------------------------
+
+_WS_SQL = r"[\t\n\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+def _norm_sql(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), '{_WS_SQL}', ' ', 'g'))"
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.tables import read_table
+    pin_session(spark)
+    return read_table(spark, sf_dir, "documents")
+
+
+def _doc_paths(doc_id) -> "F.Column":
+    d = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+
+    def p(off, ext):
+        return F.concat(F.lit("doc_"), (d + off).cast("string"), F.lit(ext))
+    m = d % 4
+    return (F.when(m == 1, F.concat(p(1, ".txt"), F.lit(", "), p(2, ".md")))
+            .when(m == 2, F.concat(p(1, ".log"), F.lit(";"), p(3, ".txt"), F.lit("\n"), p(0, ".csv")))
+            .when(m == 3, F.concat(F.lit('["'), p(2, ".txt"), F.lit('", " '), p(0, ".md"), F.lit(' ", "notes_'),
+                                   d.cast("string"), F.lit('"]'))))
+
+
+_DOC_PATHS_SQL = """
+CASE doc_id % 4
+  WHEN 1 THEN 'doc_' || (doc_id + 1) || '.txt, doc_' || (doc_id + 2) || '.md'
+  WHEN 2 THEN 'doc_' || (doc_id + 1) || '.log;doc_' || (doc_id + 3) || '.txt' || chr(10) || 'doc_' || doc_id || '.csv'
+  WHEN 3 THEN '["doc_' || (doc_id + 2) || '.txt", " doc_' || doc_id || '.md ", "notes_' || doc_id || '"]'
+END"""
+
+_PARSE_SQL = """
+CASE WHEN raw IS NULL OR trim(raw) = '' THEN []::VARCHAR[]
+     WHEN trim(raw) LIKE '[%]' AND json_valid(trim(raw)) AND json_type(trim(raw)) = 'ARRAY'
+       THEN list_filter(list_transform(json_extract_string(trim(raw), '$[*]'), lambda x: trim(x)), lambda x: x <> '')
+     ELSE list_filter(list_transform(string_split(replace(replace(trim(raw), chr(10), ','), ';', ','), ','),
+                                     lambda x: trim(x)), lambda x: x <> '')
+END"""
+
+
+@register("normalize_text", f"""
+SELECT doc_id, {_norm_sql('text')} AS text_norm, CAST(length({_norm_sql('text')}) AS INTEGER) AS n_chars
+FROM documents
+""")
+def q_normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.text import normalize_text
+    n = normalize_text(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", n.alias("text_norm"), F.length(n).alias("n_chars"))
+
+
+@register("path_list", f"""
+SELECT doc_id, CAST(len(p) AS INTEGER) AS n_paths, array_to_string(p, '|') AS paths
+FROM (SELECT doc_id, {_PARSE_SQL} AS p FROM (SELECT doc_id, {_DOC_PATHS_SQL} AS raw FROM documents))
+""")
+def q_path_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.text import parse_document_paths
+    p = parse_document_paths(_doc_paths("doc_id"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(p).alias("n_paths"), F.array_join(p, "|").alias("paths"))
+
+
+def _doc_files(docs: DataFrame) -> DataFrame:
+    ext = (F.when(F.col("lang") == "en", F.lit(".txt")).when(F.col("lang") == "fr", F.lit(".md"))
+           .when(F.col("lang") == "de", F.lit(".log")).otherwise(F.lit(".pdf")))
+    return docs.select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), ext).alias("path"), "text")
+
+
+@register("combine_text", f"""
+WITH files AS (
+  SELECT 'doc_' || doc_id || CASE lang WHEN 'en' THEN '.txt' WHEN 'fr' THEN '.md' WHEN 'de' THEN '.log'
+                                       ELSE '.pdf' END AS path, text FROM documents),
+rows AS (SELECT doc_id, source, {_PARSE_SQL} AS p FROM (SELECT doc_id, source, {_DOC_PATHS_SQL} AS raw FROM documents)),
+refs AS (SELECT doc_id, unnest(p) AS path, generate_subscripts(p, 1) AS pos FROM rows),
+st AS (
+  SELECT r.doc_id, r.pos,
+         CASE WHEN f.path IS NULL THEN 'missing'
+              WHEN lower(regexp_extract(r.path, '(\\.[^./\\\\]+)$', 1)) NOT IN ('.txt', '.md', '.csv', '.json', '.log')
+                THEN 'unsupported' ELSE 'ok' END AS status,
+         {_norm_sql('f.text')} AS t
+  FROM refs r LEFT JOIN files f ON r.path = f.path),
+agg AS (
+  SELECT doc_id, count(*) AS n_paths, count_if(status = 'ok') AS n_docs_ok,
+         string_agg(CASE WHEN status = 'ok' AND t <> '' THEN left(t, 50000) END, ' ' ORDER BY pos) AS docs_text
+  FROM st GROUP BY doc_id),
+comb AS (
+  SELECT r.doc_id, CAST(coalesce(a.n_paths, 0) AS INTEGER) AS n_paths, CAST(coalesce(a.n_docs_ok, 0) AS BIGINT) AS n_docs_ok,
+         left(concat_ws(' ', nullif({_norm_sql('r.source')}, ''), a.docs_text), 50000) AS txt
+  FROM rows r LEFT JOIN agg a ON r.doc_id = a.doc_id)
+SELECT doc_id, n_paths, n_docs_ok, CAST(length(txt) AS INTEGER) AS text_len, sha256(txt) AS text_sha256 FROM comb
+""".replace("\\\\.", "\\."))
+def q_combine_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document row, notes (``source``) + referenced documents, lenient."""
+    from ..operators.documents import combine_text
+    docs = _docs(spark, sf_dir)
+    rows = docs.select("doc_id", "source", _doc_paths("doc_id").alias("document_paths"))
+    c = combine_text(rows, _doc_files(docs), "doc_id", "source", "document_paths")
+    t = F.col("unstructured_text")
+    return c.select("doc_id", F.col("n_paths").cast("int"), F.col("n_docs_ok").cast("long"),
+                    F.length(t).alias("text_len"), F.sha2(t, 256).alias("text_sha256"))
+
+
+@register("tfidf_top_terms", f"""
+WITH tok AS (SELECT doc_id, regexp_extract_all(lower({_norm_sql('text')}), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM documents),
+grams AS (SELECT doc_id, unnest(list_concat(t, CASE WHEN len(t) >= 2 THEN
+            list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE []::VARCHAR[] END)) AS term FROM tok),
+counts AS (SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY doc_id, term),
+stats AS (SELECT term, count(*) AS df, sum(tf) AS ctf FROM counts GROUP BY term HAVING count(*) >= 2),
+vocab AS (SELECT term, df FROM stats ORDER BY ctf DESC, term ASC LIMIT 4000),
+nd AS (SELECT count(*) AS n FROM documents),
+w AS (SELECT c.doc_id, c.term, c.tf * (ln((1e0 + nd.n) / (1e0 + v.df)) + 1e0) AS w
+      FROM counts c JOIN vocab v ON c.term = v.term, nd),
+nw AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term ASC) AS rank FROM nw)
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, {q.ratio('weight')} AS weight FROM rk WHERE rank <= 5
+""".replace("\\\\p", "\\p"))
+def q_tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.common import round_ratio
+    from ..operators.tfidf import tfidf, top_terms
+    w = tfidf(_docs(spark, sf_dir), "doc_id", "text")
+    t = top_terms(w, "doc_id", 5)
+    return t.select("doc_id", "rank", "term", round_ratio(F.col("weight")).alias("weight"))
