@@ -762,3 +762,85 @@ def q_tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = tfidf(_docs(spark, sf_dir), "doc_id", "text")
     t = top_terms(w, "doc_id", 5)
     return t.select("doc_id", "rank", "term", round_ratio(F.col("weight")).alias("weight"))
+
+
+# ---------------------------------------------------------------------------
+# F1, F2, F4 fit statistics on the train split; E9 market benchmark
+# ---------------------------------------------------------------------------
+
+NUMERIC_FEATURES = ("year_built", "gross_leasable_sqft", "units", "purchase_price", "noi_t12", "occupancy_t12",
+                    "opex_t12", "gross_rent_t12", "ltv", "interest_rate", "amort_years")
+CATEGORICAL_FEATURES = ("property_type", "city", "state", "zip")
+
+
+@register("impute_scale_stats")
+def q_impute_scale_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.common import round_ratio
+    from ..operators.features import categorical_modes, numeric_stats
+    train = _split(spark, sf_dir).filter(F.col("split") == "train")
+    num = numeric_stats(train, NUMERIC_FEATURES).select(
+        "feature", F.lit("numeric").alias("kind"), *[round_ratio(F.col(c)).alias(c) for c in ("median", "mean", "scale")],
+        F.lit(None).cast("string").alias("mode"))
+    cat = categorical_modes(train, CATEGORICAL_FEATURES).select(
+        "feature", F.lit("categorical").alias("kind"), *[F.lit(None).cast("double").alias(c) for c in
+                                                          ("median", "mean", "scale")], "mode")
+    return num.unionByName(cat)
+
+
+def _impute_sql() -> str:
+    nums = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM train" for c in NUMERIC_FEATURES)
+    cats = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS value FROM train" for c in CATEGORICAL_FEATURES)
+    return with_deals(f"""
+SELECT feature, 'numeric' AS kind, {q.ratio('med')} AS median,
+       {q.ratio('avg(coalesce(value, med))')} AS mean,
+       {q.ratio('CASE WHEN stddev_pop(coalesce(value, med)) = 0 THEN 1e0 ELSE stddev_pop(coalesce(value, med)) END')} AS scale,
+       NULL::VARCHAR AS mode
+FROM nl JOIN (SELECT feature, quantile_cont(value, 0.5) AS med FROM nl GROUP BY feature) m USING (feature)
+GROUP BY feature, med
+UNION ALL
+SELECT feature, 'categorical', NULL, NULL, NULL, first(value ORDER BY n DESC, value ASC) FROM (
+  SELECT feature, value, count(*) AS n FROM cl WHERE value IS NOT NULL GROUP BY feature, value)
+  GROUP BY feature
+""", _SPLIT_CTE, f"train AS (SELECT * FROM split WHERE split = 'train')", f"nl AS ({nums})", f"cl AS ({cats})")
+
+
+ORACLES["impute_scale_stats"] = _impute_sql()
+
+
+@register("market_benchmark")
+def q_market_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markets assigned by rule (nation key mod 8)."""
+    from ..functions.common import round_money, round_ratio
+    from ..operators.market import market_benchmark
+    b = market_benchmark(_deals(spark, sf_dir), F.col("zip").cast("int") % 8)
+    ratios = ("market_rent_psf_mo", "expected_occupancy", "occupancy_gap", "expected_opex_ratio", "opex_ratio_gap",
+              "market_cap_rate", "price_to_implied")
+    return b.select("deal_id", "property_type", "market_city", *[round_ratio(F.col(c)).alias(c) for c in ratios],
+                    round_money(F.col("implied_value")).alias("implied_value"))
+
+
+def _market_sql() -> str:
+    from ..operators.market import MARKETS, PROPERTY_TYPES
+    mv = ", ".join(f"({i}, '{c}', {r!r}e0, {o!r}e0, {cap!r}e0)" for i, (c, _s, _z, r, o, cap) in enumerate(MARKETS))
+    tv = ", ".join(f"('{t}', {a!r}e0, {b!r}e0, {c!r}e0)" for t, a, b, c in PROPERTY_TYPES)
+    exp_occ = q.clamp01  # noqa: F841 (documentation of the clamp used below)
+    age_pen = "GREATEST(0e0, LEAST(6e-2, CAST(year(asof_date) - year_built - 25 AS DOUBLE) * 1e-3))"
+    eo = f"GREATEST(65e-2, LEAST(99e-2, occ_base - {age_pen}))"
+    eop = "GREATEST(18e-2, LEAST(55e-2, m_opex + adj))"
+    cap = "GREATEST(4e-2, LEAST(10e-2, cap_base + prem))"
+    return with_deals(f"""
+SELECT deal_id, property_type, market_city,
+       {q.ratio('rent')} AS market_rent_psf_mo, {q.ratio(eo)} AS expected_occupancy,
+       {q.ratio(f'occupancy_t12 - {eo}')} AS occupancy_gap, {q.ratio(eop)} AS expected_opex_ratio,
+       {q.ratio(f'opex_t12 / gross_rent_t12 - {eop}')} AS opex_ratio_gap, {q.ratio(cap)} AS market_cap_rate,
+       {q.ratio(f'purchase_price / (noi_t12 / {cap})')} AS price_to_implied,
+       {q.money(f'noi_t12 / {cap}')} AS implied_value
+FROM deals d
+LEFT JOIN (VALUES {mv}) m(ix, market_city, rent, m_opex, cap_base) ON CAST(d.zip AS INTEGER) % 8 = m.ix
+LEFT JOIN (VALUES {tv}) t(ptype, occ_base, adj, prem) ON d.property_type = t.ptype
+""")
+
+
+ORACLES["market_benchmark"] = _market_sql()
