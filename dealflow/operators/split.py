@@ -29,20 +29,20 @@ _LOW_BITS = 33
 
 def global_index(df: DataFrame, order: Sequence[str], name: str = "row_ix") -> DataFrame:
     """0-based position of every row in ``order`` (ties must be broken by ``order``)."""
-    tagged = df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id())
+    tagged = df.orderBy(*order).withColumn("__gi_mid", F.monotonically_increasing_id())
     tagged = checkpoint(tagged)
     tagged = tagged.withColumns({
-        "_pid": F.shiftright(F.col("_mid"), _LOW_BITS),
-        "_pos": F.col("_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1)),
+        "__gi_pid": F.shiftright(F.col("__gi_mid"), _LOW_BITS),
+        "__gi_pos": F.col("__gi_mid").bitwiseAND(F.lit((1 << _LOW_BITS) - 1)),
     })
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = tagged.groupBy("__gi_pid").agg(F.count(F.lit(1)).alias("__gi_cnt"))
     # one row per partition: a window over this tiny table is cheap
     offsets = counts.select(
-        "_pid", (F.sum("_cnt").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    offsets = offsets.fillna(0, ["_off"])
-    out = join_small(tagged, offsets, "_pid", max_rows=1_000_000)
-    return out.withColumn(name, (F.col("_off") + F.col("_pos")).cast("long")).drop("_mid", "_pid", "_pos", "_off")
+        "__gi_pid", (F.sum("__gi_cnt").over(Window.orderBy("__gi_pid").rowsBetween(Window.unboundedPreceding, -1)))
+        .alias("__gi_off"))
+    offsets = offsets.fillna(0, ["__gi_off"])
+    out = join_small(tagged, offsets, "__gi_pid", max_rows=1_000_000)
+    return out.withColumn(name, (F.col("__gi_off") + F.col("__gi_pos")).cast("long")).drop("__gi_mid", "__gi_pid", "__gi_pos", "__gi_off")
 
 
 def split_index(n: int, test_frac: float = 0.2) -> int:

@@ -844,3 +844,50 @@ LEFT JOIN (VALUES {tv}) t(ptype, occ_base, adj, prem) ON d.property_type = t.pty
 
 
 ORACLES["market_benchmark"] = _market_sql()
+
+
+# ---------------------------------------------------------------------------
+# F6-F14 models (rows-only checks: no SQL engine can fit these models)
+# ---------------------------------------------------------------------------
+
+def _train_test(spark: SparkSession, sf_dir: str):
+    s = _split(spark, sf_dir)
+    return s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
+
+
+@register("model_holdout_metrics")
+def q_model_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge vs gradient-boosted trees on the chronological holdout."""
+    from ..operators.models import holdout_compare
+    train, test = _train_test(spark, sf_dir)
+    _fitted, metrics = holdout_compare(train, test, CATEGORICAL_FEATURES, NUMERIC_FEATURES)
+    return metrics.select("model", "candidate_order", "n", "mae", "rmse", "r2", "best")
+
+
+@register("cv_backtest")
+def q_cv_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """walk-forward backtest of the ridge candidate over the train split's folds."""
+    from ..operators.models import walk_forward_backtest
+    from ..operators.split import walk_forward
+    folds = walk_forward(_split(spark, sf_dir))
+    return walk_forward_backtest(folds, CATEGORICAL_FEATURES, NUMERIC_FEATURES, model="ridge")
+
+
+@register("feature_importance")
+def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Permutation importance (10 repeats, seed 42, MAE) of the ridge model."""
+    from ..operators.models import fit_candidate, fit_feature_spec, permutation_importance
+    train, test = _train_test(spark, sf_dir)
+    spec = fit_feature_spec(train, CATEGORICAL_FEATURES, NUMERIC_FEATURES)
+    m = fit_candidate("ridge", train, spec)
+    imp = permutation_importance(m, test, [*CATEGORICAL_FEATURES, *NUMERIC_FEATURES])
+    return imp.orderBy(F.col("importance_mean").desc(), F.col("feature"))
+
+
+@register("ridge_coefficients")
+def q_ridge_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-50 ridge coefficients by absolute value."""
+    from ..operators.models import fit_candidate, fit_feature_spec, ridge_coefficients
+    train, _test = _train_test(spark, sf_dir)
+    spec = fit_feature_spec(train, CATEGORICAL_FEATURES, NUMERIC_FEATURES)
+    return ridge_coefficients(fit_candidate("ridge", train, spec))
