@@ -891,3 +891,52 @@ def q_ridge_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, _test = _train_test(spark, sf_dir)
     spec = fit_feature_spec(train, CATEGORICAL_FEATURES, NUMERIC_FEATURES)
     return ridge_coefficients(fit_candidate("ridge", train, spec))
+
+
+# ---------------------------------------------------------------------------
+# E8 streaming scoring: dirty deals written as JSON request files by Spark,
+# consumed by a file stream (availableNow), naive anchor = trailing NOI
+# ---------------------------------------------------------------------------
+
+@register("stream_scoring")
+def q_stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..functions.common import round_money, round_ratio
+    from ..operators.scenario import column_predictor
+    from ..streaming.scoring import scratch_root, start_scoring_stream
+    root = scratch_root(spark, "stream-scoring")
+    reqs = dirty_deals(spark, sf_dir).withColumn("asof_date", F.col("asof_date").cast("string")).drop("noi_next12")
+    reqs.write.mode("overwrite").json(f"{root}/in")
+    qry = start_scoring_stream(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint",
+                               column_predictor(F.col("noi_t12")))
+    qry.awaitTermination()
+    out = spark.read.parquet(f"{root}/out").drop("batch_id")
+    money = ("predicted_noi_next12", "loan_amount", "equity_required", "annual_debt_service", "annual_cash_flow",
+             "estimated_exit_value", "estimated_exit_proceeds_after_debt_and_costs")
+    return out.select("deal_id", "status", "errors", *[round_money(F.col(c)).alias(c) for c in money],
+                      round_ratio(F.col("cash_on_cash")).alias("cash_on_cash"))
+
+
+def _stream_sql() -> str:
+    ads = q.ads("purchase_price * ltv", "interest_rate", "amort_years")
+    ok = "status = 'accepted'"
+    ev = q.inf_div("noi_t12", "6.5e-2")
+    v = ORACLES["validate_quarantine"]
+    return f"""
+WITH v AS ({v}),
+d AS ({with_deals("SELECT * FROM dirty", _DIRTY_SQL)})
+SELECT v.deal_id, v.status, v.errors,
+       CASE WHEN {ok} THEN {q.money('noi_t12')} END AS predicted_noi_next12,
+       CASE WHEN {ok} THEN {q.money('purchase_price * ltv')} END AS loan_amount,
+       CASE WHEN {ok} THEN {q.money('purchase_price - purchase_price * ltv')} END AS equity_required,
+       CASE WHEN {ok} THEN {q.money(ads)} END AS annual_debt_service,
+       CASE WHEN {ok} THEN {q.money(f'noi_t12 - {ads}')} END AS annual_cash_flow,
+       CASE WHEN {ok} THEN {q.money(ev)} END AS estimated_exit_value,
+       CASE WHEN {ok} THEN {q.money(f'{ev} - {ev} * 2e-2 - purchase_price * ltv')} END
+         AS estimated_exit_proceeds_after_debt_and_costs,
+       CASE WHEN {ok} THEN {q.ratio(q.inf_div(f'noi_t12 - {ads}', 'purchase_price - purchase_price * ltv'))} END
+         AS cash_on_cash
+FROM v JOIN d ON v.deal_id = d.deal_id
+"""
+
+
+ORACLES["stream_scoring"] = _stream_sql()
