@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import (BINARY_EXTENSIONS, MAX_CHARS, TEXT_EXTENSIONS, extension, normalize_text,
-                              parse_document_paths)
+                              parse_document_paths, parse_path_array)
 
 UNSTRUCTURED_TEXT_COL = "unstructured_text"
 
@@ -62,8 +63,11 @@ def combine_text(rows: DataFrame, files: DataFrame, key: str, inline_col: str |
     ``text_error`` (to be quarantined) instead of raising.
     """
     inline = normalize_text(F.col(inline_col)) if inline_col and inline_col in rows.columns else F.lit("")
-    paths = (parse_document_paths(F.col(paths_col)) if paths_col and paths_col in rows.columns
-             else F.array().cast("array<string>"))
+    if paths_col and paths_col in rows.columns:
+        is_list = isinstance(rows.schema[paths_col].dataType, T.ArrayType)
+        paths = parse_path_array(F.col(paths_col)) if is_list else parse_document_paths(F.col(paths_col))
+    else:
+        paths = F.array().cast("array<string>")
     base = rows.select(key, inline.alias("_inline"), paths.alias("_paths"))
     refs = base.select(key, F.posexplode("_paths").alias("_pos", "path"))
     st = document_status(refs, files)
