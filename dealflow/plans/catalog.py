@@ -87,9 +87,10 @@ uw AS (
 
 
 def _uw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.partitioning import spread
     from ..operators.underwrite import underwrite
     d = _deals(spark, sf_dir).withColumnRenamed("noi_next12", "predicted_noi_next12")
-    return underwrite(d)
+    return underwrite(spread(d))
 
 
 _UW_SUMMARY_SQL = with_deals(f"""
@@ -162,9 +163,10 @@ pf_src AS (
 
 
 def _pf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.partitioning import spread
     from ..operators.payloads import INST_PAYLOAD
     from ..operators.proforma import proforma
-    return proforma(_deals(spark, sf_dir), INST_PAYLOAD)
+    return proforma(spread(_deals(spark, sf_dir)), INST_PAYLOAD)
 
 
 def _pf_oracle(body: str) -> str:
