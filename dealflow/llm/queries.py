@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat import CHAT_SQL, format_chats
 from .common import read_table
+from .mixing import mix_report, mix_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -47,3 +49,27 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return round_trip_digests(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"),
                               public_tokenizers.PATTERN)
+
+
+@register("op1_language")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(read_table(spark, sf_dir, "documents"))
+
+
+@register("op2_mixing", mix_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(read_table(spark, sf_dir, "documents"))
+
+
+@register("op5_chat", CHAT_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(read_table(spark, sf_dir, "conversations"))
+
+
+@register("op6_near_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), width=4)
