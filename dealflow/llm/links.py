@@ -66,9 +66,11 @@ def link_buckets(members: DataFrame, payload: list[str], may_link: Callable[[str
         F.min("node").alias("first"), F.max("node").alias("last")) \
         .filter("low is not null and first <> last").select("bucket", "low", "high")
     shared = written(members.join(buckets, "bucket"), "buckets")
-    info = written(shared.groupBy("node").agg(*(F.first(c).alias(c) for c in payload)), "bucket-nodes")
+    info = written(shared.groupBy("node").agg(*(F.first(c).alias(c) for c in payload)), "bucket-nodes") if payload else None
 
-    def described(pairs: DataFrame) -> DataFrame:
+    def likely(pairs: DataFrame) -> DataFrame:
+        if info is None:
+            return pairs
         for side, prefix in (("a", "x_"), ("b", "y_")):
             pairs = pairs.join(info.select(F.col("node").alias(side), *(F.col(c).alias(prefix + c) for c in payload)), side)
         return pairs.filter(may_link("x_", "y_")).select("a", "b")
@@ -79,7 +81,7 @@ def link_buckets(members: DataFrame, payload: list[str], may_link: Callable[[str
             F.least(side, "node").alias("a"), F.greatest(side, "node").alias("b")).distinct()
         if roots is not None:
             pairs = with_roots(with_roots(pairs, roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb").select("a", "b")
-        found = written(verify(described(pairs)), "links")
+        found = written(verify(likely(pairs)), "links")
         edges = found if edges is None else edges.union(found)
         roots = components(edges)
 

@@ -73,3 +73,25 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dedup import near_duplicates
 
     return near_duplicates(read_table(spark, sf_dir, "documents"), width=4)
+
+
+@register("op4_line_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op8_vector_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_dedup import near_vectors
+
+    return near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+@register("op10_vector_search")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_search import search
+
+    rows = read_table(spark, sf_dir, "embeddings")
+    return search(rows.filter("vec_id % 20 = 0"), rows)
