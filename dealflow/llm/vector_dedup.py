@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -41,14 +40,27 @@ from pyspark.sql import functions as F
 from .common import written
 from .links import components, with_roots
 
-TABLES, PER_FILTER, PER_VECTOR, LEAST = 6, 10, 40, 4000
+TABLES, PER_FILTER, PER_VECTOR, LEAST = 6, 10, 60, 4000
+WIDEST = 0.65
 SIGN_WORDS = 2
 
 
-def filter_plan(n: int) -> tuple[int, float]:
-    """Codewords of a half and the threshold in standard deviations of a random product, for n vectors."""
-    share = PER_FILTER / max(n, LEAST)
-    return math.ceil(math.sqrt(PER_VECTOR / TABLES / share)), NormalDist().inv_cdf(1 - share)
+def cap_share(dims: int, height: float) -> float:
+    """Share of the unit sphere in ``dims`` dimensions whose product with a fixed direction is at least ``height``."""
+    if dims == 1:
+        return 0.5
+    angles = np.linspace(0, math.pi, 20001)
+    weights = np.sin(angles) ** (dims - 2)
+    return float(weights[np.cos(angles) >= height].sum() / weights.sum())
+
+
+def filter_plan(n: int, dims: int) -> tuple[int, float]:
+    """Codewords of a half and the threshold of the product, for n vectors; in few dimensions caps stay wide enough to cover."""
+    low, high = 0.0, WIDEST
+    for _ in range(40):
+        middle = (low + high) / 2
+        low, high = (middle, high) if cap_share(dims, middle) > PER_FILTER / max(n, LEAST) else (low, middle)
+    return math.ceil(math.sqrt(PER_VECTOR / TABLES / cap_share(dims, low))), low
 
 
 def usable(vector: Column) -> Column:
@@ -77,11 +89,11 @@ def _codewords(dims: int, k: int, seed: int) -> np.ndarray:
     return words / np.sqrt((words * words).sum(axis=1, keepdims=True))
 
 
-def exceeding(rows: np.ndarray, k: int, deviations: float) -> tuple[np.ndarray, np.ndarray]:
+def exceeding(rows: np.ndarray, k: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, filter) of all filters that the rows (of one length, scaled to 1) exceed."""
     dims = rows.shape[1]
     half = (dims + 1) // 2
-    least = deviations * math.sqrt(2 / dims)  # a filter's direction is its two codewords over sqrt(2)
+    least = threshold * math.sqrt(2)  # a filter's direction is its two codewords over sqrt(2)
     found_rows, found = [], []
     for table in range(TABLES):
         turned = rows @ _rotation(dims, table)
@@ -111,9 +123,8 @@ def _signs(rows: np.ndarray) -> list[np.ndarray]:
 
 def _members(classes: DataFrame, n: int) -> DataFrame:
     """bucket, node and sign words: a row for each filter that a class exceeds."""
-    k, deviations = filter_plan(n)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans: dict[int, tuple[int, float]] = {}
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
@@ -121,7 +132,9 @@ def _members(classes: DataFrame, n: int) -> DataFrame:
                 for dims in np.unique(lengths):
                     which = np.flatnonzero(lengths == dims)
                     own = rows[which, :dims]
-                    at, filters = exceeding(own, k, deviations)
+                    if dims not in plans:
+                        plans[dims] = filter_plan(n, int(dims))
+                    at, filters = exceeding(own, *plans[dims])
                     take = pa.array(which[at])
                     signs = _signs(own)
                     yield pa.RecordBatch.from_arrays(

@@ -62,7 +62,7 @@ def test_list_decoding_finds_all_exceeding_directions():
     from dealflow.llm import vector_dedup as v
 
     rows = _unit(np.random.default_rng(1).standard_normal((20, 9)))
-    at, filters = exceeding(rows, 5, 1.0)
+    at, filters = exceeding(rows, 5, 1.0 / 3)
     half, want = 5, set()
     for table in range(v.TABLES):
         turned = rows @ v._rotation(9, table)
@@ -72,7 +72,7 @@ def test_list_decoding_finds_all_exceeding_directions():
                 direction = np.concatenate([one[i], two[j]]) / math.sqrt(2)
                 want |= {(r, (table * 5 + i) * 5 + j) for r in np.flatnonzero(turned @ direction >= 1.0 / math.sqrt(9))}
     assert set(zip(at.tolist(), filters.tolist())) == want and len(at) == len(want)
-    assert filter_plan(10 ** 6)[0] > filter_plan(10 ** 4)[0]
+    assert filter_plan(10 ** 6, 64)[0] > filter_plan(10 ** 4, 64)[0]
 
 
 def test_odd_vectors(spark):
