@@ -48,7 +48,7 @@ def global_index(df: DataFrame, order: Sequence[str], name: str = "row_ix") -> D
 def split_index(n: int, test_frac: float = 0.2) -> int:
     """T1 boundary: ``int(n * (1 - test_frac))`` clamped to [1, n - 1]."""
     if n < 3:
-        raise ValueError("Need at least 3 rows to split into train/test.")
+        raise ValueError("a train/test split takes 3 rows or more")
     idx = int(n * (1 - test_frac))
     return max(1, min(idx, n - 1))
 
@@ -113,17 +113,14 @@ def fold_report(folds: DataFrame, pred_col: str | None = None, target: str = TAR
     if pred_col is not None:
         e = F.when(is_va, F.col(target) - F.col(pred_col))
         y = F.when(is_va, F.col(target))
-        aggs += [F.avg(F.abs(e)).alias("_mae"), F.avg(e * e).alias("_mse"), F.sum(e * e).alias("_sse"),
-                 F.sum(y).alias("_sy"), F.sum(y * y).alias("_syy")]
+        aggs += [F.avg(F.abs(e)).alias("_mae"), F.avg(e * e).alias("_mse"), F.var_pop(y).alias("_var")]
     rep = folds.groupBy("fold").agg(*aggs)
     if pred_col is None:
         return rep
-    n = F.col("val_n").cast("double")
-    sst = F.col("_syy") - F.col("_sy") * F.col("_sy") / n
     return rep.select(
         "fold", "train_n", "val_n", "train_start", "train_end", "val_start", "val_end",
         F.col("_mae").alias("mae"), F.sqrt("_mse").alias("rmse"),
-        F.when((F.col("val_n") >= 2) & (sst != 0), F.lit(1.0) - F.col("_sse") / sst).alias("r2"),
+        F.when((F.col("val_n") >= 2) & (F.col("_var") != 0), F.lit(1.0) - F.col("_mse") / F.col("_var")).alias("r2"),
     )
 
 

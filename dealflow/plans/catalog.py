@@ -310,6 +310,18 @@ def q_whatif_inst_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 *[round_ratio(F.col(c)).alias(c) for c in _WI_RATIO])
 
 
+@register("whatif_inst_rejects", with_deals("""
+SELECT deal_id, CAST(32 AS BIGINT) AS grid_size, 'too_big' AS status FROM deals
+"""))
+def q_whatif_inst_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With 6 scenarios allowed, grids of 32 are over five times as many; every request comes back with its status."""
+    from ..operators.payloads import INST_PAYLOAD
+    from ..operators.scenario import column_predictor, whatif_inst
+    d = _grid_deals(spark, sf_dir, institutional=True)
+    res = whatif_inst(d, column_predictor(F.col("noi_next12")), INST_PAYLOAD, max_scenarios=6, top_n=5)
+    return res.errors.select("deal_id", "grid_size", "status")
+
+
 def _wi_sql() -> str:
     from ..operators.payloads import INST_PAYLOAD_SQL
     knobs = dict(INST_PAYLOAD_SQL, exit_cap="s.ec", rent_growth="s.rg", shock_drop="s.od", bps="s.bps")
@@ -522,7 +534,7 @@ def q_ts_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _metric_sql(e: str, y: str, n: str, rounded: bool = True) -> str:
     r = q.ratio if rounded else (lambda x: x)
     return (f"{r(f'avg(abs({e}))')} AS mae, {r(f'sqrt(avg(({e}) * ({e})))')} AS rmse, "
-            f"{r(f'CASE WHEN {n} >= 2 AND sum(({y}) * ({y})) - sum({y}) * sum({y}) / {n} <> 0 THEN 1e0 - sum(({e}) * ({e})) / (sum(({y}) * ({y})) - sum({y}) * sum({y}) / {n}) END')} AS r2")
+            f"{r(f'CASE WHEN {n} >= 2 AND var_pop({y}) <> 0 THEN 1e0 - avg(({e}) * ({e})) / var_pop({y}) END')} AS r2")
 
 
 _FOLD_REPORT_SQL = with_deals(f"""
@@ -619,20 +631,27 @@ def q_dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumns({c: F.col(c).cast("string") for c in ("asof_date_min", "asof_date_max")})
 
 
-_FP_COLS_SQL = ("concat_ws('|', deal_id, CAST(asof_date AS VARCHAR), coalesce(property_type, ''), city, state, zip, "
-                "CAST(year_built AS VARCHAR), CAST(amort_years AS VARCHAR))")
+_DEAL_TEXT = ("deal_id", "asof_date", "property_type", "city", "state", "zip", "year_built", "amort_years")
+_DEAL_NUMBERS = ("gross_leasable_sqft", "units", "purchase_price", "noi_t12", "occupancy_t12", "opex_t12", "gross_rent_t12",
+                 "ltv", "interest_rate", "noi_next12")
 
 
-@register("row_fingerprint", with_deals(f"""
+def _fingerprint_sql() -> str:
+    texts = [f"CAST({c} AS VARCHAR)" for c in _DEAL_TEXT]
+    texts += [f"CAST(CAST(floor({c} * 1e4 + 0.5e0) AS BIGINT) AS VARCHAR)" for c in _DEAL_NUMBERS]
+    row = " || ".join(f"coalesce(length({t}) || ':' || {t}, 'null;')" for t in texts)
+    return with_deals(f"""
 SELECT count(*) AS n_rows,
-       CAST(sum(CAST(('0x' || substr(sha256({_FP_COLS_SQL}), 1, 15))::UBIGINT AS DECIMAL(38,0))) AS VARCHAR) AS fingerprint
+       CAST(sum(CAST(('0x' || substr(sha256({row}), 1, 15))::UBIGINT AS DECIMAL(38,0))) AS VARCHAR) AS fingerprint
 FROM deals
-"""))
+""")
+
+
+@register("row_fingerprint", _fingerprint_sql())
 def q_row_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A2 (table form): order-independent sum of per-row SHA-256 prefixes."""
+    """A2 (table form) over all 18 columns; numbers enter with four decimals, which both engines form alike."""
     from ..operators.metrics import table_fingerprint
-    cols = ["deal_id", F.col("asof_date").cast("string"), F.coalesce("property_type", F.lit("")), "city", "state",
-            "zip", F.col("year_built").cast("string"), F.col("amort_years").cast("string")]
+    cols = [F.col(c) for c in _DEAL_TEXT] + [F.floor(F.col(c) * 1e4 + 0.5).cast("bigint") for c in _DEAL_NUMBERS]
     return table_fingerprint(_deals(spark, sf_dir), cols)
 
 
@@ -744,7 +763,7 @@ def q_combine_text(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.length(t).alias("text_len"), F.sha2(t, 256).alias("text_sha256"))
 
 
-@register("tfidf_top_terms", f"""
+_TFIDF_SQL = f"""
 WITH tok AS (SELECT doc_id, regexp_extract_all(lower({_norm_sql('text')}), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS t FROM documents),
 grams AS (SELECT doc_id, unnest(list_concat(t, CASE WHEN len(t) >= 2 THEN
             list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]) ELSE []::VARCHAR[] END)) AS term FROM tok),
@@ -754,10 +773,23 @@ vocab AS (SELECT term, df FROM stats ORDER BY ctf DESC, term ASC LIMIT 4000),
 nd AS (SELECT count(*) AS n FROM documents),
 w AS (SELECT c.doc_id, c.term, c.tf * (ln((1e0 + nd.n) / (1e0 + v.df)) + 1e0) AS w
       FROM counts c JOIN vocab v ON c.term = v.term, nd),
-nw AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w),
+nw AS (SELECT doc_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)
+""".replace("\\\\p", "\\p")
+
+
+@register("tfidf_matrix", _TFIDF_SQL + f"SELECT doc_id, term, {q.ratio('weight')} AS weight FROM nw")
+def q_tfidf_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole sparse matrix, a row for each document and vocabulary term in it."""
+    from ..functions.common import round_ratio
+    from ..operators.tfidf import tfidf
+    w = tfidf(_docs(spark, sf_dir), "doc_id", "text")
+    return w.select("doc_id", "term", round_ratio(F.col("weight")).alias("weight"))
+
+
+@register("tfidf_top_terms", _TFIDF_SQL + f""",
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weight DESC, term ASC) AS rank FROM nw)
 SELECT doc_id, CAST(rank AS INTEGER) AS rank, term, {q.ratio('weight')} AS weight FROM rk WHERE rank <= 5
-""".replace("\\\\p", "\\p"))
+""")
 def q_tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.common import round_ratio
     from ..operators.tfidf import tfidf, top_terms
@@ -767,7 +799,7 @@ def q_tfidf_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# F1, F2, F4 fit statistics on the train split; E9 market benchmark
+# F1, F2, F4 fit statistics on the train split
 # ---------------------------------------------------------------------------
 
 NUMERIC_FEATURES = ("year_built", "gross_leasable_sqft", "units", "purchase_price", "noi_t12", "occupancy_t12",
@@ -811,43 +843,6 @@ SELECT feature, 'categorical', NULL, NULL, NULL, first(value ORDER BY n DESC, va
 ORACLES["impute_scale_stats"] = _impute_sql()
 
 
-@register("market_benchmark")
-def q_market_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markets assigned by rule (nation key mod 8)."""
-    from ..functions.common import round_money, round_ratio
-    from ..operators.market import market_benchmark
-    b = market_benchmark(_deals(spark, sf_dir), F.col("zip").cast("int") % 8)
-    ratios = ("market_rent_psf_mo", "expected_occupancy", "occupancy_gap", "expected_opex_ratio", "opex_ratio_gap",
-              "market_cap_rate", "price_to_implied")
-    return b.select("deal_id", "property_type", "market_city", *[round_ratio(F.col(c)).alias(c) for c in ratios],
-                    round_money(F.col("implied_value")).alias("implied_value"))
-
-
-def _market_sql() -> str:
-    from ..operators.market import MARKETS, PROPERTY_TYPES
-    mv = ", ".join(f"({i}, '{c}', {r!r}e0, {o!r}e0, {cap!r}e0)" for i, (c, _s, _z, r, o, cap) in enumerate(MARKETS))
-    tv = ", ".join(f"('{t}', {a!r}e0, {b!r}e0, {c!r}e0)" for t, a, b, c in PROPERTY_TYPES)
-    exp_occ = q.clamp01  # noqa: F841 (documentation of the clamp used below)
-    age_pen = "GREATEST(0e0, LEAST(6e-2, CAST(year(asof_date) - year_built - 25 AS DOUBLE) * 1e-3))"
-    eo = f"GREATEST(65e-2, LEAST(99e-2, occ_base - {age_pen}))"
-    eop = "GREATEST(18e-2, LEAST(55e-2, m_opex + adj))"
-    cap = "GREATEST(4e-2, LEAST(10e-2, cap_base + prem))"
-    return with_deals(f"""
-SELECT deal_id, property_type, market_city,
-       {q.ratio('rent')} AS market_rent_psf_mo, {q.ratio(eo)} AS expected_occupancy,
-       {q.ratio(f'occupancy_t12 - {eo}')} AS occupancy_gap, {q.ratio(eop)} AS expected_opex_ratio,
-       {q.ratio(f'opex_t12 / gross_rent_t12 - {eop}')} AS opex_ratio_gap, {q.ratio(cap)} AS market_cap_rate,
-       {q.ratio(f'purchase_price / (noi_t12 / {cap})')} AS price_to_implied,
-       {q.money(f'noi_t12 / {cap}')} AS implied_value
-FROM deals d
-LEFT JOIN (VALUES {mv}) m(ix, market_city, rent, m_opex, cap_base) ON CAST(d.zip AS INTEGER) % 8 = m.ix
-LEFT JOIN (VALUES {tv}) t(ptype, occ_base, adj, prem) ON d.property_type = t.ptype
-""")
-
-
-ORACLES["market_benchmark"] = _market_sql()
-
-
 # ---------------------------------------------------------------------------
 # F6-F14 models (rows-only checks: no SQL engine can fit these models)
 # ---------------------------------------------------------------------------

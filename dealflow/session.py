@@ -19,6 +19,7 @@ _SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -31,7 +32,8 @@ def get_spark(master: str | None = None, app_name: str = "dealflow",
     if master:
         builder = builder.master(master)
     conf = dict(_SESSION_CONF)
-    conf.setdefault("spark.driver.memory", os.environ.get("DEALFLOW_DRIVER_MEMORY", "16g"))
+    if os.environ.get("DEALFLOW_DRIVER_MEMORY"):
+        conf["spark.driver.memory"] = os.environ["DEALFLOW_DRIVER_MEMORY"]
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -52,8 +54,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is used
-    as is.  Only when it is unset (tests, local runs) a private scratch folder
-    is created.
+    as is.  Only when it is unset and the master is local (tests) a private
+    scratch folder is created; elsewhere that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,6 +63,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="dealflow-ckpt-", dir="/tmp")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -44,13 +44,13 @@ def load_deals(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     reader = spark.read.schema(DEAL_SCHEMA) if fmt == "csv" else spark.read
     df = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
     if TIME_COL not in df.columns:
-        raise DealLoadError(f"Missing required column: {TIME_COL}")
+        raise DealLoadError(f"the deal table has no {TIME_COL} column")
     parsed = df.withColumn(TIME_COL, F.try_to_date(F.col(TIME_COL).cast("string")))
     bad = df.filter(F.try_to_date(F.col(TIME_COL).cast("string")).isNull()).limit(5).collect()
     if bad:
-        raise DealLoadError(f"{TIME_COL} has invalid dates. Example bad rows:\n" + "\n".join(map(str, bad)))
+        raise DealLoadError(f"{TIME_COL}: values that are no dates, such as\n" + "\n".join(map(str, bad)))
     if TARGET not in df.columns:
-        raise DealLoadError(f"Missing target column: {TARGET}")
+        raise DealLoadError(f"the deal table has no {TARGET} column to learn from")
     return parsed
 
 
@@ -172,7 +172,7 @@ def load_model(path: str):
         model = PipelineModel.load(f"{path}/pipeline")
         spec = spark.read.json(f"{path}/spec").first().asDict(recursive=True)
     except Exception as e:  # noqa: BLE001
-        raise FileNotFoundError(f"Missing model at {path}. Train it first.") from e
+        raise FileNotFoundError(f"no saved model at {path}") from e
     name = spec.pop("name")
     spec = {k: v for k, v in spec.items() if k in FeatureSpec.__dataclass_fields__}
     return FittedModel(name, FeatureSpec(**spec), model)

@@ -9,7 +9,8 @@ from dealflow.sources.tables import TABLES
 
 FAST = ["roi_snapshot", "underwrite_summary", "irr_portfolio", "proforma_summary", "whatif_simple",
         "whatif_inst_topn", "validate_quarantine", "conditional_roi_map", "time_split", "fold_report",
-        "normalize_text", "path_list", "combine_text", "tfidf_top_terms", "market_benchmark", "impute_scale_stats"]
+        "normalize_text", "path_list", "combine_text", "tfidf_top_terms", "tfidf_matrix", "row_fingerprint", "whatif_inst_rejects",
+        "regression_metrics", "impute_scale_stats"]
 
 
 def test_entry_and_registry(spark):

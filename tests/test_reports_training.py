@@ -38,7 +38,7 @@ def test_export_and_load_checks(spark, tmp_path):
     assert first.asof_date == d.agg(F.min("asof_date")).first()[0]
     bad = tmp_path / "bad.csv"
     bad.write_text("deal_id,asof_date,noi_next12\nD1,not-a-date,1.0\n")
-    with pytest.raises(DealLoadError, match="invalid dates"):
+    with pytest.raises(DealLoadError, match="no dates"):
         load_deals(spark, str(bad))
 
 
