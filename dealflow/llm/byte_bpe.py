@@ -60,7 +60,7 @@ def _token_bytes(path: str) -> dict[int, bytes]:
 
 
 def _encoder(path: str, pattern: str):
-    return worker_encoder(("ranks", path, pattern), lambda: _tokenizer(path, pattern), True, packed)
+    return worker_encoder(("ranks", path, pattern), lambda: _tokenizer(path, pattern), packed)
 
 
 def encode_texts(texts: list[str], path: str, pattern: str) -> list[np.ndarray]:

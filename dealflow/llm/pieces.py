@@ -3,7 +3,7 @@
 The pre-tokenizers used here never join characters across certain blanks, so a
 text's ids are the ids of its blank-separated pieces, one after the other.  A
 worker therefore hands the library only pieces it has not met lately and joins
-the stored ids.  The store is emptied when it holds ``CAPACITY`` pieces, which
+the stored ids.  The store holds at most ``CAPACITY`` pieces, which
 bounds its memory; results never depend on what it holds.
 """
 
@@ -13,11 +13,14 @@ import os
 import re
 import struct
 
+import numpy as np
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CAPACITY = 500_000
+CAPACITY = 600_000
 _DOUBLE_BLANK = re.compile(r"\s\s")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_CLOSING = re.compile(r"(?<=[a-z])[.,](?=\s|\Z)")
 
 
 def byte_level_pieces(text: str) -> list[str]:
@@ -33,54 +36,105 @@ def byte_level_pieces(text: str) -> list[str]:
 
 
 def blank_free_pieces(text: str) -> list[str]:
-    """Cut at every space and line feed, for tokenizers that drop blanks."""
+    """Cut at every space and line feed, for tokenizers that lower-case letters and drop blanks.
+
+    A point or comma between a letter and a blank is a pre-token of its own and
+    is cut off.  A-Z are lower-cased here so that pieces differ less, unless a
+    special token might be spelled in the text.
+    """
+    if "<|" not in text:
+        text = _CLOSING.sub(r" \g<0>", text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
     return text.replace("\n", " ").split(" ")
 
 
+class Store(dict):
+    """Values by piece in two generations: when the young one is full it replaces the old one."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def missing(self, pieces: set[str]) -> list[str]:
+        """Make room, bring back pieces of the old generation, and return those that are in neither."""
+        if len(self) + len(pieces) > CAPACITY // 2:
+            self.old = dict(self)
+            self.clear()
+        unknown, old = [], self.old
+        for p in pieces.difference(self):
+            if p in old:
+                self[p] = old[p]
+            else:
+                unknown.append(p)
+        return unknown
+
+
 class PieceEncoder:
-    """Encode texts by pieces; ``value(ids)`` says what is stored for a piece."""
-
-    def __init__(self, tokenizer, byte_level: bool, value):
-        self.tokenizer, self.byte_level, self.value = tokenizer, byte_level, value
-        self.cut = byte_level_pieces if byte_level else blank_free_pieces
-        self.first: dict[str, object] = {}
-        self.rest: dict[str, object] = {} if byte_level else self.first
-
-    def _learn(self, store: dict, pieces: set[str], lead: str) -> None:
-        missing = list(pieces.difference(store))
-        if len(store) + len(missing) > CAPACITY:
-            store.clear()
-            missing = list(pieces)
+    """Encode texts by pieces; ``value(ids)`` says what is stored for a piece.
+
+    ``word_end``: the suffix that a word's last token has, in vocabularies that
+    mark it.  Words of letters only are then encoded many at a time and cut apart
+    after tokens with it; should their number not agree, one by one.
+    """
+
+    def __init__(self, tokenizer, value, word_end: str | None = None):
+        self.tokenizer, self.value = tokenizer, value
+        self.first, self.rest = Store(), Store()
+        self.ends = None
+        if word_end is not None:
+            self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
+            self.ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith(word_end)]] = True
+
+    def _learn(self, store: Store, pieces: set[str], lead: str) -> None:
+        missing = store.missing(pieces)
+        if self.ends is not None:
+            missing = [p for p in missing if not p.isalpha()] + self._learn_words(store, [p for p in missing if p.isalpha()])
         for i in range(0, len(missing), 4096):
             part = missing[i:i + 4096]
             coded = self.tokenizer.encode_batch_fast([lead + p for p in part], add_special_tokens=False)
             for p, e in zip(part, coded):
                 store[p] = self.value(e.ids)
 
+    def _learn_words(self, store: Store, words: list[str], together: int = 64) -> list[str]:
+        """Store words of letters; return those that could not be cut apart."""
+        groups = [words[i:i + together] for i in range(0, len(words), together)]
+        left = []
+        for i in range(0, len(groups), 64):
+            part = groups[i:i + 64]
+            for group, e in zip(part, self.tokenizer.encode_batch_fast([" ".join(g) for g in part], add_special_tokens=False)):
+                ids = np.array(e.ids, "<u4")
+                stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+                if len(stops) != len(group) or stops[-1] != len(ids):
+                    left += group
+                    continue
+                begin = 0
+                for word, stop in zip(group, stops):
+                    store[word] = self.value(ids[begin:stop])
+                    begin = stop
+        return left
+
     def encode(self, texts: list[str]) -> list[list]:
         """For each text the stored values of its pieces, in order.  An empty text has none."""
-        cut = [self.cut(t) if t else [] for t in texts]
-        if self.byte_level:
-            self._learn(self.first, {p[0] for p in cut if p}, "")
-            self._learn(self.rest, set().union(*(p[1:] for p in cut)), " ")
-            first, rest = self.first, self.rest
-            out = [[first[p[0]], *map(rest.__getitem__, p[1:])] if p else [] for p in cut]
-        else:
+        if self.ends is not None:
+            cut = [blank_free_pieces(t) if t else [] for t in texts]
             self._learn(self.first, set().union(*cut), "")
-            out = [list(map(self.first.__getitem__, p)) for p in cut]
-        return out
+            return [list(map(self.first.__getitem__, p)) for p in cut]
+        cut = [byte_level_pieces(t) if t else [] for t in texts]
+        self._learn(self.first, {p[0] for p in cut if p}, "")
+        self._learn(self.rest, set().union(*(p[1:] for p in cut)), " ")
+        first, rest = self.first, self.rest
+        return [[first[p[0]], *map(rest.__getitem__, p[1:])] if p else [] for p in cut]
 
 
-def packed(ids: list[int]) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+def packed(ids) -> bytes:
+    """Ids (a list or an array of this type) as little-endian unsigned 32-bit integers."""
+    return ids.tobytes() if isinstance(ids, np.ndarray) else struct.pack(f"<{len(ids)}I", *ids)
 
 
 _ENCODERS: dict[tuple, PieceEncoder] = {}
 
 
-def worker_encoder(key: tuple, load, byte_level: bool, value) -> PieceEncoder:
+def worker_encoder(key: tuple, load, value, word_end: str | None = None) -> PieceEncoder:
     """The worker's encoder for ``key``; tasks that reuse the worker reuse its store."""
     if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(load(), byte_level, value)
+        _ENCODERS[key] = PieceEncoder(load(), value, word_end)
     return _ENCODERS[key]

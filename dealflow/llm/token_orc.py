@@ -39,10 +39,13 @@ def _load(path: str):
     return Tokenizer.from_file(path)
 
 
-def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int) -> None:
-    """Encode every whole text, append ``end_id`` and write the files to ``path`` (which must not exist)."""
+def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, word_end: str = "</w>") -> None:
+    """Encode every whole text, append ``end_id`` and write the files to ``path`` (which must not exist).
+
+    The tokenizer drops blanks, lower-cases, and ends words with tokens that have the suffix ``word_end``.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(("ids", tokenizer_path), lambda: _load(tokenizer_path), False, packed)
+        encoder = worker_encoder(("ids", tokenizer_path), lambda: _load(tokenizer_path), packed, word_end)
         part, begin, end = TaskContext.get().partitionId(), 0, packed([end_id])
         for batch in slices(batches, "text"):
             coded = [b"".join(parts) + end for parts in encoder.encode(batch.column("text").to_pylist())]
