@@ -33,7 +33,7 @@ def read_document_files(spark: SparkSession, path: str, recursive: bool = True)
 def document_status(ref: DataFrame, files: DataFrame, path_col: str = "path") -> DataFrame:
     """Join referenced paths to files and classify them.
 
-    ``status``: ok | missing ("Document not found") | unsupported (not a text
+    ``status``: ok | missing | unsupported (not a text
     format).  Adds ``doc_text`` (normalised, only for ok).
     """
     f = files.select(F.col("path").alias("_fpath"), F.col("text").alias("_ftext"))
@@ -42,9 +42,9 @@ def document_status(ref: DataFrame, files: DataFrame, path_col: str = "path") ->
     status = (F.when(F.col("_fpath").isNull(), F.lit("missing"))
               .when(~ext.isin(*TEXT_EXTENSIONS), F.lit("unsupported"))
               .otherwise(F.lit("ok")))
-    message = (F.when(status == "missing", F.concat(F.lit("Document not found: "), F.col(path_col)))
+    message = (F.when(status == "missing", F.concat(F.lit("no such document: "), F.col(path_col)))
                .when(status == "unsupported",
-                     F.concat(F.lit("Unsupported document type: "),
+                     F.concat(F.lit("not a text format: "),
                               F.when(ext == "", F.lit("(no extension)")).otherwise(ext))))
     return j.select(*[c for c in ref.columns], status.alias("status"), message.alias("status_message"),
                     F.when(status == "ok", normalize_text(F.col("_ftext"))).alias("doc_text"),

@@ -35,23 +35,30 @@ class DealLoadError(ValueError):
 
 
 def load_deals(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """S1 + S2: read a deal table and apply the load checks in the reference's order.
+    """S1 + S2: read a deal table, bind its columns by name and check them.
 
-    Missing time column -> error; unparsable dates -> error listing the first
-    5 bad rows (a ``limit(5)`` job, not a collect of the table); missing
-    target -> error.
+    Columns may come in any order; known ones are cast to their type, others
+    are kept as they are.  In this order: a missing time column, values that are no dates, a
+    missing target and values that don't fit their column's type are errors,
+    with up to 5 bad rows (a ``limit(5)`` job, not a collect of the table).
     """
-    reader = spark.read.schema(DEAL_SCHEMA) if fmt == "csv" else spark.read
-    df = reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+    df = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
     if TIME_COL not in df.columns:
         raise DealLoadError(f"the deal table has no {TIME_COL} column")
-    parsed = df.withColumn(TIME_COL, F.try_to_date(F.col(TIME_COL).cast("string")))
     bad = df.filter(F.try_to_date(F.col(TIME_COL).cast("string")).isNull()).limit(5).collect()
     if bad:
         raise DealLoadError(f"{TIME_COL}: values that are no dates, such as\n" + "\n".join(map(str, bad)))
     if TARGET not in df.columns:
         raise DealLoadError(f"the deal table has no {TARGET} column to learn from")
-    return parsed
+    typed = [f for f in DEAL_SCHEMA.fields if f.name in df.columns and f.name != TIME_COL]
+    unfit = F.lit(False)
+    for f in typed:
+        unfit = unfit | (F.col(f.name).isNotNull() & F.col(f.name).cast("string").try_cast(f.dataType).isNull())
+    bad = df.filter(unfit).limit(5).collect()
+    if bad:
+        raise DealLoadError("values that don't fit their column's type, such as\n" + "\n".join(map(str, bad)))
+    return df.withColumns({TIME_COL: F.try_to_date(F.col(TIME_COL).cast("string")),
+                           **{f.name: F.col(f.name).cast("string").try_cast(f.dataType) for f in typed}})
 
 
 def export_chronological(df: DataFrame, path: str) -> None:

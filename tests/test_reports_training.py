@@ -42,6 +42,20 @@ def test_export_and_load_checks(spark, tmp_path):
         load_deals(spark, str(bad))
 
 
+def test_columns_bind_by_name(spark, tmp_path):
+    p = tmp_path / "mixed.csv"
+    p.write_text("noi_next12,extra,property_type,asof_date,deal_id\n5.5,x,Office,2024-01-31,D1\n,y,Retail,2024-02-29,D2\n")
+    rows = load_deals(spark, str(p)).orderBy("deal_id").collect()
+    assert [(r.deal_id, r.noi_next12, r.property_type, r.extra, str(r.asof_date)) for r in rows] == [
+        ("D1", 5.5, "Office", "x", "2024-01-31"), ("D2", None, "Retail", "y", "2024-02-29")]
+    for text, message in (("deal_id,noi_next12\nD1,1\n", "asof_date"), ("deal_id,asof_date\nD1,2024-01-31\n", "noi_next12"),
+                          ("asof_date,noi_next12\n2024-01-31,much\n", "fit their column")):
+        p = tmp_path / f"{len(text)}.csv"
+        p.write_text(text)
+        with pytest.raises(DealLoadError, match=message):
+            load_deals(spark, str(p))
+
+
 def test_train_validate_explain(spark, tmp_path):
     res = train_validate_explain(deals(spark, SF_SMALL), str(tmp_path / "run"), CATEGORICAL_FEATURES,
                                  NUMERIC_FEATURES, gbt_iter=3, cv_model="ridge", n_splits=3)
