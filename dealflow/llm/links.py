@@ -23,6 +23,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select(F.col("m").alias("a"), "b")).distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every larger end has one edge and is nowhere the smaller end."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(0).alias("larger"), F.lit(1).alias("smaller")).union(
+        edges.select("b", F.lit(1), F.lit(0)))
+    ends = ends.groupBy("n").agg(F.sum("larger").alias("larger"), F.max("smaller").alias("smaller"))
+    return ends.filter("larger > 1 or (larger = 1 and smaller = 1)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node with an edge that isn't its own root; root is the component's least node.
 
@@ -32,13 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
                     "edges")
-    state = None
-    while True:
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == state or mark[0] == 0:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        state = mark
+    while not _are_stars(edges):
         edges = written(_small_star(_large_star(edges)), "stars")
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
 def with_roots(nodes: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
@@ -48,53 +52,111 @@ def with_roots(nodes: DataFrame, roots: DataFrame, node: str = "node", root: str
         .withColumn(root, F.coalesce("__root", node)).drop("__node", "__root")
 
 
-def link_buckets(members: DataFrame, payload: list[str], may_link: Callable[[str, str], Column],
-                 verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """node, root of the components that verified links between members of a bucket make.
+#: Buckets of at most so many members are compared pair by pair after their hub.
+SMALL = 32
 
-    ``members``: bucket, node (longs), hub (boolean: may stand on the first side
-    of a pair) and the columns of ``payload``.  ``may_link(x, y)`` is a cheap condition over payload
-    columns with these prefixes, true for every true link; ``verify`` keeps the true links of (a, b).
 
-    First each bucket's members are compared with its least and then with its
-    greatest hub, which unites groups of near copies by as many comparisons as they
-    have members.  Then every pair of a bucket that may link and still lies in
-    two components is compared, so no link between components is lost.
-    """
+def _crowds(members: DataFrame) -> DataFrame:
+    """Members of buckets with two nodes or more and a hub, with the least hub (``low``) and whether there are many (``large``)."""
     buckets = members.groupBy("bucket").agg(
-        F.min(F.when(F.col("hub"), F.col("node"))).alias("low"), F.max(F.when(F.col("hub"), F.col("node"))).alias("high"),
-        F.min("node").alias("first"), F.max("node").alias("last")) \
-        .filter("low is not null and first <> last").select("bucket", "low", "high")
-    shared = written(members.join(buckets, "bucket"), "buckets")
-    info = written(shared.groupBy("node").agg(*(F.first(c).alias(c) for c in payload)), "bucket-nodes") if payload else None
+        F.min(F.when(F.col("hub"), F.col("node"))).alias("low"), F.min("node").alias("first"), F.max("node").alias("final"),
+        F.count(F.lit(1)).alias("n")).filter("low is not null and first <> final") \
+        .select("bucket", "low", (F.col("n") > SMALL).alias("large"))
+    return members.join(buckets, "bucket")
 
-    def likely(pairs: DataFrame) -> DataFrame:
-        if info is None:
-            return pairs
-        for side, prefix in (("a", "x_"), ("b", "y_")):
-            pairs = pairs.join(info.select(F.col("node").alias(side), *(F.col(c).alias(prefix + c) for c in payload)), side)
-        return pairs.filter(may_link("x_", "y_")).select("a", "b")
-
-    edges, roots = None, None
-    for side in ("low", "high"):
-        pairs = shared.filter(F.col(side) != F.col("node")).select(
-            F.least(side, "node").alias("a"), F.greatest(side, "node").alias("b")).distinct()
+
+def link_refined(members: DataFrame, comparer: Callable[[DataFrame], tuple[Callable, Callable]]) -> DataFrame:
+    """node, root of the components that links between a hub and another member of a bucket make.
+
+    ``members``: bucket, node (longs) and hub (boolean: may stand on the first
+    side of a pair).  ``comparer(nodes)`` prepares the nodes that share a bucket and
+    returns compare(pairs), which gives a, b, linked for pairs (a, b), and
+    finer(members), which puts members of one bucket into finer ones (with columns of
+    its own, and ``last`` where it can't be refined) that bring all linked members together again.
+
+    As in ``link_buckets``, members are compared with the least hub, small
+    buckets still apart pair by pair, and large ones by their finer buckets.
+    """
+    level, edges, roots, tools = members, None, None, None
+    while True:
+        shared = written(_crowds(level), "buckets")
+        tools = tools or comparer(shared.select("node").distinct())
+        compare, finer = tools
+        stars = shared.filter("low <> node").select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b")).distinct()
         if roots is not None:
-            pairs = with_roots(with_roots(pairs, roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb").select("a", "b")
-        found = written(verify(likely(pairs)), "links")
+            stars = with_roots(with_roots(stars, roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb").select("a", "b")
+        found = written(compare(stars), "compared").filter("linked").select("a", "b")
         edges = found if edges is None else edges.union(found)
         roots = components(edges)
+        rooted = written(with_roots(shared, roots), "rooted")
+        closed = ~F.col("large") | (F.col("last") if "last" in rooted.columns else F.lit(False))
+        pairs = _across(rooted.filter(closed).select("bucket", "node", "hub", "root")).select("a", "b").distinct()
+        found = written(compare(pairs), "compared").filter("linked").select("a", "b")
+        if not found.isEmpty():
+            edges = edges.union(found)
+            roots = components(edges)
+        mixed = rooted.filter(~closed).groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")) \
+            .filter("r0 <> r1").select("bucket")
+        crowded = rooted.filter(~closed).drop("low", "large", "root", "last").join(mixed, "bucket")
+        if mixed.isEmpty():
+            return roots
+        level = written(finer(crowded), "finer")
+
+
+def link_buckets(members: DataFrame, payload: list[str], may_link: Callable[[str, str], Column],
+                 comparer: Callable[[DataFrame], Callable[[DataFrame], DataFrame]],
+                 bounded: Callable[[str, str], Column]) -> DataFrame:
+    """node, root of the components that links between members of a bucket make.
+
+    ``members``: bucket, node (longs) and the columns of ``payload``.
+    ``may_link(x, y)`` is a cheap condition on payload columns with these
+    prefixes, true for every link.  ``comparer(nodes)`` prepares the nodes that
+    share a bucket and returns compare(pairs), which gives a, b, split, linked for pairs
+    (a, b, split) and, where split, columns by which ``bounded(x, y)`` tells of two
+    nodes compared with one a whether they can link; it is true for every link.
+
+    Every member of a bucket is compared with the bucket's least node, which
+    unites near copies by as many comparisons as there are members.  What still
+    lies in several components is compared pair by pair: members of a small bucket, and
+    those of a large one's hub that may link and for which ``bounded`` holds.
+    So no link between components is lost; of a large group's pairs only those are
+    made that the bound can't rule out.
+    """
+    shared = written(_crowds(members.withColumn("hub", F.lit(True))), "buckets")
+    info = written(shared.groupBy("node").agg(*(F.first(c).alias(c) for c in payload)), "bucket-nodes")
 
-    apart = with_roots(shared.select("bucket", "node", "hub", *payload), roots)
-    mixed = apart.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
-    apart = written(apart.join(mixed, "bucket"), "apart")
-    x = apart.filter("hub").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ["node", "root", *payload]))
-    y = apart.select("bucket", *(F.col(c).alias(f"y_{c}") for c in ["node", "root", "hub", *payload]))
-    pairs = (x.join(y, "bucket")
-             .filter((F.col("x_root") != F.col("y_root")) & (~F.col("y_hub") | (F.col("x_node") < F.col("y_node")))
-                     & may_link("x_", "y_"))
-             .select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct())
-    found = written(verify(pairs), "links")
-    if found.isEmpty():
-        return roots
-    return components(edges.union(found))
+    def described(pairs: DataFrame, side: str, prefix: str) -> DataFrame:
+        return pairs.join(info.select(F.col("node").alias(side), *(F.col(c).alias(prefix + c) for c in payload)), side)
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs that may link; those with the hub of a large bucket stay in any case."""
+        pairs = pairs.groupBy("a", "b").agg(F.max("split").alias("split"))
+        pairs = described(described(pairs, "a", "x_"), "b", "y_")
+        return pairs.filter(F.col("split") | may_link("x_", "y_")).select("a", "b", "split")
+
+    compare = comparer(info.select("node"))
+    seen = written(compare(likely(shared.filter("low <> node").select(
+        F.col("low").alias("a"), F.col("node").alias("b"), F.col("large").alias("split")))), "compared")
+    edges = seen.filter("linked").select("a", "b")
+    roots = components(edges)
+
+    small = _across(with_roots(shared.filter("not large").select("bucket", "node", "hub"), roots))
+    groups = with_roots(with_roots(seen.filter("split").drop("split", "linked"), roots, "b", "rb"), roots, "a", "ra")
+    mixed = groups.groupBy("a").agg(F.max(F.col("ra") != F.col("rb")).alias("mixed")).filter("mixed").select("a")
+    groups = written(described(groups.join(mixed, "a").drop("ra"), "b", ""), "groups")
+    x, y = (groups.select("a", *(F.col(c).alias(p + c) for c in groups.columns if c != "a")) for p in ("x_", "y_"))
+    large = x.join(y, "a").filter((F.col("x_b") < F.col("y_b")) & (F.col("x_rb") != F.col("y_rb"))
+                                  & may_link("x_", "y_") & bounded("x_", "y_"))
+    large = large.select(F.col("x_b").alias("a"), F.col("y_b").alias("b"), F.lit(False).alias("split"))
+    found = written(compare(likely(small.union(large))), "compared").filter("linked").select("a", "b")
+    return roots if found.isEmpty() else components(edges.union(found))
+
+
+def _across(rooted: DataFrame) -> DataFrame:
+    """All pairs (a, b, split false) of a bucket's members (bucket, node, hub, root) in different components."""
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
+    rooted = rooted.join(mixed, "bucket")
+    x = rooted.filter("hub").select("bucket", F.col("node").alias("x"), F.col("root").alias("xr"))
+    y = rooted.select("bucket", F.col("node").alias("y"), F.col("root").alias("yr"), F.col("hub").alias("yh"))
+    return x.join(y, "bucket").filter("xr <> yr and (not yh or x < y)") \
+        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(False).alias("split"))

@@ -4,9 +4,10 @@ Documents with equal shingle sets form a class; one member stands for it.  A
 class's sketch (96 coordinates) is cut into 24 bands of 4; classes that share
 a band are candidates, which a true pair at the threshold of 0.8 misses with
 probability (1 - 0.8^4)^24, about 3 in a million, and a closer pair less.
-``link_buckets`` compares each band's members with its hubs and then what is still apart, so
-a group of thousands of near copies costs as many comparisons as it has
-members.  A comparison counts the intersection of the full shingle sets.
+``link_buckets`` compares each band's members with one hub.  What is then still
+apart is compared pair by pair, in large groups only where what both have and
+lack of the hub (exact bits) leaves room for a link, so a group of thousands
+of near copies costs few comparisons more than it has members.  A comparison counts the intersection of the full shingle sets.
 
 Before a comparison two cheap conditions are asked: sizes must allow the
 similarity, and of 96 one-bit sketch coordinates at most 30 may differ (a true
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +35,10 @@ from pyspark.sql import functions as F
 from ..operators.joins import join_small
 from .common import slices, written
 from .links import link_buckets, with_roots
-from .shingles import bands, common, low_bits, set_digest, shingle_set, sketch
+from .shingles import bands, low_bits, set_digest, shingle_set, sketch
 
 BANDS, ROWS, MAX_DIFFERING = 24, 4, 30
+NEW_BITS = 252
 _SIGNATURE = ("doc_id bigint, k1 bigint, k2 bigint, n_shingles bigint, digest binary, bits1 bigint, bits2 bigint, "
               "bands array<bigint>")
 
@@ -90,32 +93,87 @@ def _may_link(percent: int):
     return condition
 
 
-def _verifier(docs: DataFrame, classes: DataFrame, width: int, percent: int):
+def _words(places: np.ndarray, n: int) -> np.ndarray:
+    """Places below n as bits in longs of 63 bits."""
+    bits = np.zeros((n + 62) // 63 * 63, np.int64)
+    bits[places] = 1
+    return bits.reshape(-1, 63) @ (np.int64(1) << np.arange(63, dtype=np.int64))
+
+
+def _against_hub(held: np.ndarray, other: np.ndarray) -> tuple[int, dict]:
+    """Size of the intersection with the hub's set, and what bounds the other's intersection with third sets.
+
+    ``gone``: the hub's items that are missing, exactly, a bit for each; ``new``: items outside the
+    hub, hashed to NEW_BITS bits, of which ``extra`` fell on a bit that was taken.
+    """
+    at = np.minimum(np.searchsorted(held, other), len(held) - 1)
+    inside = held[at] == other
+    missing = np.ones(len(held), bool)
+    missing[at[inside]] = False
+    places = np.unique((other[~inside] % np.uint64(NEW_BITS)).astype(np.int64))
+    n = int(inside.sum())
+    return n, {"hub_size": len(held), "size": len(other), "gone": _words(np.flatnonzero(missing), len(held)),
+               "new": _words(places, NEW_BITS), "extra": len(other) - n - len(places)}
+
+
+def _bounded(percent: int):
+    """Whether two sets that were compared with one hub can be as similar as percent.
+
+    Inside the hub they share what neither lacks; outside, at most a set's bits that
+    meet and its extra items, or all its new items.
+    """
+    def bits(both: Column) -> Column:
+        return F.aggregate(both, F.lit(0), lambda total, word: total + F.bit_count(word))
+
+    def condition(x: str, y: str) -> Column:
+        inside = F.col(f"{x}hub_size") - bits(F.zip_with(f"{x}gone", f"{y}gone", lambda p, q: p.bitwiseOR(q)))
+        meeting = bits(F.zip_with(f"{x}new", f"{y}new", lambda p, q: p.bitwiseAND(q))) + F.least(f"{x}extra", f"{y}extra")
+        most = inside + F.least(meeting, *(F.col(f"{z}extra") + bits(F.col(f"{z}new")) for z in (x, y)))
+        return (100 + percent) * most >= percent * (F.col(f"{x}size") + F.col(f"{y}size"))
+
+    return condition
+
+
+def _compare(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, None
         for batch in slices(batches, "text_a", 1 << 20):
-            good = []
-            for a, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b"))):
+            linked, against = [], []
+            for a, split, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "split", "text_a", "text_b"))):
                 if a != last:
                     last, held = a, shingle_set(text_a, width)
                 other = shingle_set(text_b, width)
-                n = common(held, other)
-                good.append(100 * n >= percent * (len(held) + len(other) - n))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "candidates")
-        ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = written(classes.join(ends, "node").select("node", F.col("k1").alias("c1"), F.col("k2").alias("c2")), "wanted")
+                n, bounds = _against_hub(held, other)
+                linked.append(100 * n >= percent * (len(held) + len(other) - n))
+                against.append(bounds if split else dict.fromkeys(bounds))
+            kinds = {"hub_size": pa.int64(), "size": pa.int64(), "gone": pa.list_(pa.int64()), "new": pa.list_(pa.int64()),
+                     "extra": pa.int64()}
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), batch.column("split"), pa.array(linked, pa.bool_()),
+                 *(pa.array([x[k] for x in against], t) for k, t in kinds.items())], ["a", "b", "split", "linked", *kinds])
+
+    return run
+
+
+def _comparer(docs: DataFrame, classes: DataFrame, width: int, percent: int):
+    def prepare(nodes: DataFrame):
+        wanted = written(classes.join(nodes, "node").select("node", F.col("k1").alias("c1"), F.col("k2").alias("c2")), "wanted")
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         keyed = docs.select(*text_keys(text), text.alias("text"))
         texts = join_small(keyed, wanted, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), max_rows=100_000)
         texts = written(texts.select("node", "text").dropDuplicates(["node"]), "candidate-texts")
-        return (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-                .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-                .select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint"))
+        run = _compare(width, percent)
+
+        def compare(pairs: DataFrame) -> DataFrame:
+            return (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+                    .join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+                    .select("a", "b", "split", "text_a", "text_b")
+                    .mapInArrow(run, "a bigint, b bigint, split boolean, linked boolean, hub_size bigint, size bigint, "
+                                     "gone array<bigint>, new array<bigint>, extra bigint"))
+
+        return compare
 
-    return verify
+    return prepare
 
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -124,8 +182,8 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = _classes(signed)
     payload = ["n_shingles", "bits1", "bits2"]
     members = classes.filter("bands is not null").select(
-        F.explode("bands").alias("bucket"), "node", F.lit(True).alias("hub"), *payload)
-    roots = link_buckets(members, payload, _may_link(percent), _verifier(docs, classes, width, percent))
+        F.explode("bands").alias("bucket"), "node", *payload)
+    roots = link_buckets(members, payload, _may_link(percent), _comparer(docs, classes, width, percent), _bounded(percent))
     rooted = with_roots(classes.select("digest", "node"), roots)
     # nodes grow with rep, so the root holds the least doc_id of its component
     named = rooted.join(classes.select(F.col("node").alias("root"), F.col("rep").alias("component_id")), "root") \

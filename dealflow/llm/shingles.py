@@ -110,9 +110,3 @@ def low_bits(least: np.ndarray) -> tuple[int, int]:
 def set_digest(items: np.ndarray) -> bytes:
     return hashlib.md5(items.tobytes()).digest()
 
-
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted distinct arrays."""
-    both = np.concatenate([a, b])
-    both.sort(kind="stable")
-    return int((both[1:] == both[:-1]).sum())

@@ -3,9 +3,10 @@ import re
 
 import numpy as np
 
+from dealflow.llm import links
 from dealflow.llm.links import components
 from dealflow.llm.near_dedup import deduplicate, near_duplicates
-from dealflow.llm.shingles import bands, common, shingle_set, sketch, word_hashes
+from dealflow.llm.shingles import bands, shingle_set, sketch, word_hashes
 from llm_fixtures import SF_SMALL, no_docs, odd_docs, shipped  # noqa: F401
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,12 +59,20 @@ def _corpus():
         near = list(big)
         near[rng.randrange(150)] = f"x{i}"
         rows.append(near)
+    for i in range(60):  # far variants of that text, which share bands but no link, each with a near copy of its own
+        far = list(big)
+        for k, at in enumerate(rng.sample(range(150), 9)):
+            far[at] = f"y{i}.{k}"
+        rows += [far, far[:20] + [f"z{i}"] + far[21:]]
+    inner = [big[a:a + 70] for a in range(0, 60, 6)]  # parts of it, which link with each other inside it
+    rows += inner
     texts = [" ".join(r) for r in rows]
     rng.shuffle(texts)
     return list(enumerate(texts))
 
 
-def test_against_all_pairs(spark):
+def test_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(links, "SMALL", 16)
     rows = _corpus()
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(
         spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), width=4).collect()}
@@ -102,7 +111,7 @@ def test_sketch_estimates_similarity():
         items = rng.integers(1, 1 << 62, 1100).astype(np.uint64)
         a, b = np.unique(items[:1000]), np.unique(items[100:])
         agree.append((sketch(a, 96) == sketch(b, 96)).mean())
-        assert common(a, b) == 900
+        assert len(np.intersect1d(a, b)) == 900
     assert abs(np.mean(agree) - 900 / 1100) < 0.02 and np.std(agree) < 0.06
     assert len(set(bands(sketch(a, 96), 4).tolist())) == 24
 
