@@ -15,7 +15,8 @@ its outer blanks; one shorter than ``min_chars`` (20) is too short to tell a cop
 from chance and always stays.
 
 Equal lines are one node of the join however often they occur.  Groups are
-compared by hubs first (``link_buckets``).  Index and probe entries are
+compared with one hub first; a segment that many lines share is cut out, and
+the rests of these lines are split again (``link_refined``).  Index and probe entries are
 hash-partitioned by key and read in a stream; texts of lines move only for
 candidates, and documents once, to have their lines dropped.
 
@@ -38,7 +39,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import join_small
 from .common import slices, written
-from .links import link_buckets, with_roots
+from .links import link_refined, with_roots
 
 
 def segments(length: int, distance: int) -> list[tuple[int, int]]:
@@ -150,6 +151,15 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
 
 
+def _plan(n: int, distance: int, plans: dict[int, list]) -> list[tuple[int, int, int, bool]]:
+    """(seed, begin, end, indexed) of the entries of a line of n characters; the seed tells indexed length and segment."""
+    if n not in plans:
+        own = [(n, i, at, m) for i, (at, m) in enumerate(segments(n, distance))]
+        others = [(k, i, at, m) for k in range(max(1, n - distance), n + 1) for i, at, m in probes(n, k, distance)]
+        plans[n] = [(k * (distance + 1) + i, at, at + m, (k, i, at, m) in own) for k, i, at, m in dict.fromkeys(own + others)]
+    return plans[n]
+
+
 def _entries(docs: DataFrame, distance: int, min_chars: int) -> DataFrame:
     """bucket, node, hub: index entries (hub) and probe entries of the distinct lines of each piece of a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,22 +168,51 @@ def _entries(docs: DataFrame, distance: int, min_chars: int) -> DataFrame:
             lines = dict.fromkeys(line for text in batch.column("text").to_pylist() for _, line in _lines(text, min_chars))
             buckets, nodes, hubs = [], [], []
             for line in lines:
-                n = len(line)
-                if n not in plans:
-                    own = [(n, i, at, m) for i, (at, m) in enumerate(segments(n, distance))]
-                    others = [(k, i, at, m) for k in range(max(1, n - distance), n + 1) for i, at, m in probes(n, k, distance)]
-                    plans[n] = [(k * (distance + 1) + i, at, at + m, (k, i, at, m) in own) for k, i, at, m in dict.fromkeys(own + others)]
-                node = _hash(line)
-                for seed, begin, end, hub in plans[n]:
+                plan, node = _plan(len(line), distance, plans), _hash(line)
+                for seed, begin, end, hub in plan:
                     buckets.append(_hash(line[begin:end], seed))
                     hubs.append(hub)
-                nodes += [node] * len(plans[n])
+                nodes += [node] * len(plan)
             yield pa.RecordBatch.from_arrays([_signed(buckets), _signed(nodes), pa.array(hubs, pa.bool_())],
                                              ["bucket", "node", "hub"])
 
     return _keyed(docs).select("text").mapInArrow(run, "bucket bigint, node bigint, hub boolean")
 
 
+def _finer(distance: int):
+    """Entries of what is left of a bucket's lines without the segment they share.
+
+    Linked lines are within the distance outside a segment they share as well,
+    so they meet again by a segment of the rest.  A rest too short to be split
+    is one last bucket.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans: dict[int, list] = {}
+        for batch in slices(batches, "rest", 1 << 18):
+            out = []
+            for bucket, node, parent, rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "parent", "rest"))):
+                lead = f"{parent}:" if parent else ""
+                key = bucket & ((1 << 64) - 1)
+                shared = {(b, e) for seed, b, e, _ in _plan(len(rest), distance, plans) if _hash(lead + rest[b:e], seed) == key}
+                for left in {rest[:b] + rest[e:] for b, e in shared}:
+                    if len(left) < 2 * (distance + 1):
+                        out.append((_hash(f"{bucket}:"), node, True, bucket, left, True))
+                        continue
+                    out += [(_hash(f"{bucket}:{left[b:e]}", seed), node, hub, bucket, left, False)
+                            for seed, b, e, hub in _plan(len(left), distance, plans)]
+            columns = list(zip(*out)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays(
+                [_signed(list(columns[0])), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.bool_()),
+                 pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.string()), pa.array(columns[5], pa.bool_())],
+                ["bucket", "node", "hub", "parent", "rest", "last"])
+
+    def finer(crowded: DataFrame) -> DataFrame:
+        return crowded.select("bucket", "node", "parent", "rest").distinct().mapInArrow(
+            run, "bucket bigint, node bigint, hub boolean, parent bigint, rest string, last boolean").distinct()
+
+    return finer
+
+
 def _met(entries: DataFrame) -> DataFrame:
     """Entries of buckets that hold an index entry and more; read in a stream, bucket by bucket."""
     inside = Window.partitionBy("bucket").orderBy(F.desc("hub"), "node")
@@ -184,30 +223,39 @@ def _met(entries: DataFrame) -> DataFrame:
     return entries.filter(F.col("indexed") & ~repeated & ~alone).select("bucket", "node", "hub")
 
 
-def _verifier(docs: DataFrame, distance: int, min_chars: int):
+def _comparer(docs: DataFrame, distance: int, min_chars: int):
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             lines = list(dict.fromkeys(line for text in batch.column("text").to_pylist() for _, line in _lines(text, min_chars)))
             yield pa.RecordBatch.from_arrays([_signed([_hash(x) for x in lines]), pa.array(lines, pa.string())], ["node", "line"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "line_a", 1 << 18):
-            first, second = batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist()
-            yield batch.select(["a", "b"]).filter(pa.array(edit_within(first, second, distance)))
+            linked = edit_within(batch.column("line_a").to_pylist(), batch.column("line_b").to_pylist(), distance)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked)], ["a", "b", "linked"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "line-pairs")
-        ends = pairs.select(F.col("a").alias("wanted")).union(pairs.select(F.col("b").alias("wanted"))).distinct()
+    def prepare(nodes: DataFrame):
         lines = _keyed(docs).select("text").mapInArrow(texts, "node bigint, line string")
-        lines = join_small(lines, written(ends, "wanted-lines"), F.col("node") == F.col("wanted"), "left_semi", max_rows=100_000)
+        wanted = nodes.select(F.col("node").alias("wanted"))
+        lines = join_small(lines, wanted, F.col("node") == F.col("wanted"), "left_semi", max_rows=100_000)
         lines = written(lines.dropDuplicates(["node", "line"]), "line-texts")
-        # near lengths first: the longest line of a piece sets its number of steps
-        both = (pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a")
-                .join(lines.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
-                .select("a", "b", "line_a", "line_b", F.length("line_a").alias("n")).sortWithinPartitions("n").drop("n"))
-        return both.mapInArrow(compare, "a bigint, b bigint").distinct()
+        split = _finer(distance)
+
+        def finer(crowded: DataFrame) -> DataFrame:
+            if "rest" not in crowded.columns:
+                crowded = crowded.join(lines.withColumnRenamed("line", "rest"), "node").withColumn("parent", F.lit(0).cast("bigint"))
+            return split(crowded)
+
+        def compare(pairs: DataFrame) -> DataFrame:
+            # near lengths together: the longest line of a piece sets its number of steps
+            both = (pairs.join(lines.select(F.col("node").alias("a"), F.col("line").alias("line_a")), "a")
+                    .join(lines.select(F.col("node").alias("b"), F.col("line").alias("line_b")), "b")
+                    .select("a", "b", "line_a", "line_b", F.length("line_a").alias("n")).sortWithinPartitions("n").drop("n"))
+            return both.mapInArrow(run, "a bigint, b bigint, linked boolean")
+
+        return compare, finer
 
-    return verify
+    return prepare
 
 
 def line_groups(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -220,7 +268,7 @@ def line_groups(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> tupl
         raise ValueError("min_chars must exceed distance")
     occurrences = _occurrences(docs, min_chars)
     met = written(_met(_entries(docs, distance, min_chars)), "line-entries")
-    roots = link_buckets(met, [], lambda x, y: F.lit(True), _verifier(docs, distance, min_chars))
+    roots = link_refined(met, _comparer(docs, distance, min_chars))
     place = _place()
     lines = written(occurrences.groupBy("node", "check").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "lines")
     rooted = with_roots(lines, roots)

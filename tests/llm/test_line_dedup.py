@@ -1,5 +1,6 @@
 import random
 
+from dealflow.llm import links
 from dealflow.llm.line_dedup import dedup_lines, edit_within, probes, segments
 from llm_fixtures import no_docs, odd_docs, shipped  # noqa: F401
 
@@ -64,13 +65,18 @@ def expected(rows, d=2, least=20):
     return ["\n".join(x for k, x in enumerate((t or "").split("\n")) if (doc, k) not in gone) for doc, (_, t) in enumerate(rows)]
 
 
-def test_against_all_pairs(spark):
+def test_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(links, "SMALL", 4)  # so that shared segments are cut out and the rests split again
     rng = random.Random(8)
     base = ["".join(rng.choice("abé ") for _ in range(rng.randint(18, 34))).strip().ljust(18, "z") for _ in range(25)]
     rows = []
     for i in range(40):
         picked = [changed(rng, rng.choice(base), rng.randint(0, 3)) for _ in range(rng.randint(0, 3))]
         rows.append((i, "\n".join(picked + [f"  {rng.choice(base)} ", "short"])))
+    head = "a common first third of lines, "
+    for i in range(40, 60):  # a segment that many lines share, some of them near copies
+        tail = "".join(rng.choice("abé ") for _ in range(2 * len(head) - 2))
+        rows.append((i, "\n".join(head + changed(rng, tail, n) + "zz" for n in (0, 1, 3))))
     got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
     want = expected(rows)
     assert [got[i].text for i, _ in rows] == want
