@@ -179,13 +179,25 @@ def _entries(docs: DataFrame, distance: int, min_chars: int) -> DataFrame:
     return _keyed(docs).select("text").mapInArrow(run, "bucket bigint, node bigint, hub boolean")
 
 
+def _shortened(text: str, distance: int) -> set[str]:
+    """What up to ``distance`` deletions leave of a text; texts within the distance have one of these in common."""
+    found = {text}
+    for _ in range(distance):
+        found |= {x[:i] + x[i + 1:] for x in found for i in range(len(x))}
+    return found
+
+
 def _finer(distance: int):
     """Entries of what is left of a bucket's lines without the segment they share.
 
     Linked lines are within the distance outside a segment they share as well,
     so they meet again by a segment of the rest.  A rest too short to be split
-    is one last bucket.
+    goes to last buckets, one for each string that up to ``distance`` deletions
+    leave of it; rests within the distance have such a string in common.  A rest up to
+    ``distance`` longer goes there too, on the second side, to meet those too short.
     """
+    least = 2 * (distance + 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, list] = {}
         for batch in slices(batches, "rest", 1 << 18):
@@ -195,8 +207,10 @@ def _finer(distance: int):
                 key = bucket & ((1 << 64) - 1)
                 shared = {(b, e) for seed, b, e, _ in _plan(len(rest), distance, plans) if _hash(lead + rest[b:e], seed) == key}
                 for left in {rest[:b] + rest[e:] for b, e in shared}:
-                    if len(left) < 2 * (distance + 1):
-                        out.append((_hash(f"{bucket}:"), node, True, bucket, left, True))
+                    if len(left) < least + distance:
+                        out += [(_hash(f"{bucket}:-{some}"), node, len(left) < least, bucket, left, True)
+                                for some in _shortened(left, distance)]
+                    if len(left) < least:
                         continue
                     out += [(_hash(f"{bucket}:{left[b:e]}", seed), node, hub, bucket, left, False)
                             for seed, b, e, hub in _plan(len(left), distance, plans)]

@@ -83,6 +83,22 @@ def test_against_all_pairs(spark, monkeypatch):
     assert all(got[i].n_lines - got[i].n_dropped == (len(w.split("\n")) if w else got[i].n_lines - got[i].n_dropped) for (i, _), w in zip(rows, want))
 
 
+def test_rests_of_unequal_length(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    rows = []
+    for end in (" is the code of your order", " is your code"):  # many lines share the template; the codes are what is left
+        for _ in range(30):
+            code = "".join(rng.choice(letters) for _ in range(rng.randint(4, 5) if len(end) > 20 else rng.randint(7, 9)))
+            near = code
+            for _ in range(rng.randint(1, 2)):
+                at = rng.randrange(len(near) + 1)
+                near = near[:at] + rng.choice(letters) + near[at:]
+            rows += [(len(rows), code + end), (len(rows) + 1, near + end)]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert [got[i] for i, _ in rows] == expected(rows)
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = dedup_lines(odd_docs).collect()
     assert len(got) == odd_docs.count() and set(got[0].asDict()) == {*odd_docs.columns, "n_lines", "n_dropped"}
