@@ -11,8 +11,9 @@ bit-parallel edit distance on the whole lines.
 
 Linked lines form groups; of a group the first line (by ``doc_id``, then
 place) stays and all others are dropped, copies within one document too.  A line is taken without
-its outer blanks; one shorter than ``min_chars`` (20) is too short to tell a copy
-from chance and always stays.
+its outer blanks.  One shorter than ``min_chars`` (20) takes no part in the edit
+join: with ``short_copies`` it is linked to lines equal to it, without it always stays.
+Blank lines always stay.
 
 Equal lines are one node of the join however often they occur.  Groups are
 compared with one hub first; a segment that many lines share is cut out, and
@@ -272,15 +273,17 @@ def _comparer(docs: DataFrame, distance: int, min_chars: int):
     return prepare
 
 
-def line_groups(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> tuple[DataFrame, DataFrame]:
+def line_groups(docs: DataFrame, distance: int = 2, min_chars: int = 20, short_copies: bool = False) -> tuple[DataFrame, DataFrame]:
     """Occurrences of compared lines, and for each line that is not alone the first place of its group.
 
+    With ``short_copies``, lines under ``min_chars`` are compared too, for equality.
+
     The second has node, check and ``first`` (a struct in document order).  Two
     lines with one ``node`` hash are told apart by ``check``.
     """
     if min_chars <= distance:
         raise ValueError("min_chars must exceed distance")
-    occurrences = _occurrences(docs, min_chars)
+    occurrences = _occurrences(docs, 1 if short_copies else min_chars)
     met = written(_met(_entries(docs, distance, min_chars)), "line-entries")
     roots = link_refined(met, _comparer(docs, distance, min_chars))
     place = _place()
@@ -300,9 +303,9 @@ def _place() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "place")
 
 
-def dedup_lines(docs: DataFrame, distance: int = 2, min_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, distance: int = 2, min_chars: int = 20, short_copies: bool = False) -> DataFrame:
     """``docs`` with the text of kept lines, ``n_lines`` and ``n_dropped``; a row for every row of ``docs``."""
-    occurrences, groups = line_groups(docs, distance, min_chars)
+    occurrences, groups = line_groups(docs, distance, min_chars, short_copies)
     groups = written(groups, "line-groups")
     dropped = occurrences.join(groups, ["node", "check"]).filter(_place() != F.col("first")) \
         .select("doc_id", "text_key", "place").distinct()

@@ -79,7 +79,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
-    return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), short_copies=True)
 
 
 @register("op8_vector_dedup")

@@ -2,7 +2,7 @@ import random
 
 from dealflow.llm import links
 from dealflow.llm.line_dedup import dedup_lines, edit_within, probes, segments
-from llm_fixtures import no_docs, odd_docs, shipped  # noqa: F401
+from llm_fixtures import SF_SMALL, no_docs, odd_docs, shipped  # noqa: F401
 
 
 def distance(a, b):
@@ -99,6 +99,22 @@ def test_rests_of_unequal_length(spark):
     assert [got[i] for i, _ in rows] == expected(rows)
 
 
+def test_copies_of_short_lines(spark):
+    long = "a line that is long enough for the edit join"
+    rows = [(1, f"And ornd.\n{long}\n\n}}"), (2, f"  And ornd. \n\nAnd orne.\n{long}s"), (3, "}\nAnd ornd.\n \nAnd ornd."), (4, None)]
+    got = {r.doc_id: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string"), short_copies=True).collect()}
+    assert {i: (r.text, r.n_dropped) for i, r in got.items()} == {
+        1: (rows[0][1], 0), 2: ("\nAnd orne.", 2), 3: (" ", 3), 4: ("", 0)}
+
+
+def test_query_drops_copies_of_short_lines(spark):
+    from dealflow.llm.queries import QUERIES
+
+    kept = [x.strip() for r in QUERIES["op4_line_dedup"](spark, SF_SMALL).collect() for x in r.text.split("\n")]
+    kept = [x for x in kept if x]
+    assert len(kept) == len(set(kept))
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = dedup_lines(odd_docs).collect()
     assert len(got) == odd_docs.count() and set(got[0].asDict()) == {*odd_docs.columns, "n_lines", "n_dropped"}
