@@ -111,6 +111,20 @@ def test_search_recall_and_scores(spark):
     assert hits >= 0.9 * 20 * 150
 
 
+def test_search_recall_with_mixed_norms(spark):
+    rng = np.random.default_rng(12)
+    x = _unit(rng.standard_normal((6000, 64))) * rng.uniform(0.5, 1.5, (6000, 1))
+    x[7] *= 1000  # one long vector
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in search(df.filter("vec_id % 20 = 0"), df, block_rows=64).collect()}
+    hits = 0
+    for q in range(0, 6000, 20):
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += sum((q, int(r)) in found for r in np.argsort(-score)[:20])
+    assert hits >= 0.9 * 20 * 300
+
+
 @pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3), (6, 2)])
 def test_hilbert_keys_walk_the_grid(dims, bits):
     side = 1 << bits
