@@ -863,11 +863,11 @@ def q_model_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("cv_backtest")
 def q_cv_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """walk-forward backtest of the ridge candidate over the train split's folds."""
+    """walk-forward backtest of the tree candidate over the train split's folds."""
     from ..operators.models import walk_forward_backtest
     from ..operators.split import walk_forward
     folds = walk_forward(_split(spark, sf_dir))
-    return walk_forward_backtest(folds, CATEGORICAL_FEATURES, NUMERIC_FEATURES, model="ridge")
+    return walk_forward_backtest(folds, CATEGORICAL_FEATURES, NUMERIC_FEATURES, model="gbt")
 
 
 @register("feature_importance")

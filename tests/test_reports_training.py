@@ -66,3 +66,13 @@ def test_train_validate_explain(spark, tmp_path):
     m = load_model(str(tmp_path / "run" / "model"))
     scored = m(deals(spark, SF_SMALL).limit(5))
     assert scored.filter(F.col("predicted_noi_next12").isNull()).count() == 0
+
+
+def test_cv_backtest_fits_the_tree_model(spark, monkeypatch):
+    from dealflow.operators import models
+    from dealflow.plans.catalog import QUERIES
+
+    trees = models.gbt
+    monkeypatch.setattr(models, "gbt", lambda max_iter: trees(max_iter=1))  # the query's 100 take minutes
+    rows = QUERIES["cv_backtest"](spark, SF_SMALL).collect()
+    assert sorted((r.model, r.split) for r in rows) == [("gbt", i) for i in range(1, 9)]
