@@ -125,6 +125,24 @@ def test_search_recall_with_mixed_norms(spark):
     assert hits >= 0.9 * 20 * 300
 
 
+def test_search_with_the_whole_table_in_its_windows_is_exact(spark):
+    x = np.random.default_rng(13).standard_normal((1500, 32))
+    ids = [i if i < 1400 else 3 for i in range(1500)]  # 101 rows of one id count as one
+    x[1400:] = x[3] * 5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id bigint, embedding array<double>")
+    for given, least in (({}, 1.0), ({"curves": 3, "window": 0.3}, 0.6)):
+        found = {(r.query_id, r["rank"], r.vec_id) for r in search(df.filter("vec_id % 20 = 0"), df, k=5, block_rows=100, **given).collect()}
+        want = set()
+        for q in range(0, 1400, 20):
+            score = x[:1400] @ x[q]
+            score[3] *= 5 if score[3] > 0 else 1
+            score[q] = -np.inf
+            want |= {(q, n + 1, int(r)) for n, r in enumerate(np.argsort(-score)[:5])}
+        pairs, near = ({(q, r) for q, _, r in side} for side in (found, want))
+        assert len(found) == len(want) and len(pairs & near) >= least * len(near)
+        assert least < 1 or found == want
+
+
 @pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3), (6, 2)])
 def test_hilbert_keys_walk_the_grid(dims, bits):
     side = 1 << bits
