@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import CHAT_SQL, format_chats
 from .common import read_table
 from .mixing import mix_report, mix_sql
+from .vector_codes import codes_sql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +96,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = read_table(spark, sf_dir, "embeddings")
     return search(rows.filter("vec_id % 20 = 0"), rows)
+
+
+@register("op11_vector_codes", codes_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import compress
+
+    return compress(read_table(spark, sf_dir, "embeddings"))
