@@ -8,6 +8,7 @@ from .chat import CHAT_SQL, format_chats
 from .common import read_table
 from .mixing import mix_report, mix_sql
 from .vector_codes import codes_sql
+from .warc import WARC_SQL
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -103,3 +104,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vector_codes import compress
 
     return compress(read_table(spark, sf_dir, "embeddings"))
+
+
+@register("op13_warc", WARC_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(read_table(spark, sf_dir, "pages"))
