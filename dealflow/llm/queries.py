@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import CHAT_SQL, format_chats
 from .common import read_table
+from .lexical import LEXICAL_SQL
 from .mixing import mix_report, mix_sql
 from .vector_codes import codes_sql
 from .warc import WARC_SQL
@@ -106,6 +107,13 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress(read_table(spark, sf_dir, "embeddings"))
 
 
+@register("op12_lexical_search", LEXICAL_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lexical import rank_documents
+
+    return rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @register("op13_warc", WARC_SQL)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
