@@ -125,13 +125,16 @@ def fold_report(folds: DataFrame, pred_col: str | None = None, target: str = TAR
 
 
 def split_profile(split_df: DataFrame, target: str = TARGET) -> DataFrame:
-    """T4: rows, date range and ``describe()`` of the target per split."""
+    """T4: rows, date range and ``describe()`` of the target per split (quartiles from counted values)."""
+    from .order_stats import quantiles
+
     y = F.col(target)
-    return split_df.groupBy("split").agg(
+    plain = split_df.groupBy("split").agg(
         F.count(F.lit(1)).alias("rows"),
         F.min(TIME_COL).alias("date_min"), F.max(TIME_COL).alias("date_max"),
         F.count(y).alias("target_count"), F.avg(y).alias("target_mean"), F.stddev_samp(y).alias("target_std"),
-        F.min(y).alias("target_min"),
-        F.percentile(y, 0.25).alias("target_p25"), F.percentile(y, 0.5).alias("target_p50"),
-        F.percentile(y, 0.75).alias("target_p75"), F.max(y).alias("target_max"),
-    )
+        F.min(y).alias("target_min"), F.max(y).alias("target_max"))
+    ranks = quantiles(split_df.select("split", y.cast("double").alias("value")), ["split"], [0.25, 0.5, 0.75])
+    quartiles = ranks.groupBy(F.col("split").alias("of_split")).agg(*[
+        F.max(F.when(F.col("prob") == p, F.col("quantile"))).alias(f"target_p{int(p * 100)}") for p in (0.25, 0.5, 0.75)])
+    return plain.join(F.broadcast(quartiles), F.col("split").eqNullSafe(F.col("of_split")), "left").drop("of_split")

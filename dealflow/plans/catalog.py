@@ -844,16 +844,39 @@ ORACLES["impute_scale_stats"] = _impute_sql()
 
 
 # ---------------------------------------------------------------------------
-# F6-F14 models (rows-only checks: no SQL engine can fit these models)
+# F6-F14 models.  The ridge candidate is checked against normal equations in
+# SQL; no SQL engine fits the trees (rows-only checks).
 # ---------------------------------------------------------------------------
 
+_MODEL_COLUMNS = ", ".join((*CATEGORICAL_FEATURES, *NUMERIC_FEATURES))
+_FIT_TRAIN = f"SELECT 0 AS grp, row_ix AS rid, {_MODEL_COLUMNS}, noi_next12 AS y FROM split WHERE split = 'train'"
+
+
+def _ridge_sql(body: str, fit: str = _FIT_TRAIN, score: str = _FIT_TRAIN.replace("'train'", "'test'"), more: tuple = (), first: tuple = ()) -> str:
+    return with_deals(body, _SPLIT_CTE, *first, *q.ridge_ctes(fit, score, CATEGORICAL_FEATURES, NUMERIC_FEATURES), *more, recursive=True)
+
+
 def _train_test(spark: SparkSession, sf_dir: str):
     s = _split(spark, sf_dir)
     return s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test")
 
 
-@register("model_holdout_metrics")
+@register("model_holdout_metrics", _ridge_sql(f"""
+SELECT 'ridge' AS model, count(*) AS n, {_metric_sql('y - pred', 'y', 'CAST(count(*) AS DOUBLE)')} FROM rg_pred
+"""))
 def q_model_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ridge candidate on the chronological holdout."""
+    from ..functions.common import round_ratio
+    from ..operators.models import fit_candidate
+    from ..operators.metrics import regression_metrics
+    train, test = _train_test(spark, sf_dir)
+    model = fit_candidate("ridge", train, CATEGORICAL_FEATURES, NUMERIC_FEATURES)
+    m = regression_metrics(model(test), "noi_next12", "predicted_noi_next12")
+    return m.select(F.lit("ridge").alias("model"), "n", *[round_ratio(F.col(c)).alias(c) for c in ("mae", "rmse", "r2")])
+
+
+@register("model_comparison")
+def q_model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge vs gradient-boosted trees on the chronological holdout."""
     from ..operators.models import holdout_compare
     train, test = _train_test(spark, sf_dir)
@@ -865,29 +888,67 @@ def q_model_holdout_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_cv_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """walk-forward backtest of the tree candidate over the train split's folds."""
     from ..operators.models import walk_forward_backtest
-    from ..operators.split import walk_forward
-    folds = walk_forward(_split(spark, sf_dir))
-    return walk_forward_backtest(folds, CATEGORICAL_FEATURES, NUMERIC_FEATURES, model="gbt")
+    return walk_forward_backtest(_split(spark, sf_dir), CATEGORICAL_FEATURES, NUMERIC_FEATURES, model="gbt")
 
 
-@register("feature_importance")
+@register("ridge_backtest", _ridge_sql(f"""
+SELECT 'ridge' AS model, CAST(grp AS INTEGER) AS split, any_value(train_n) AS train_n, count(*) AS val_n,
+       {_metric_sql('y - pred', 'y', 'CAST(count(*) AS DOUBLE)')}
+FROM rg_pred JOIN (SELECT grp AS g, count(*) AS train_n FROM rg_fit GROUP BY grp) ON grp = g GROUP BY grp
+""", *[f"SELECT fold AS grp, row_ix AS rid, {_MODEL_COLUMNS}, noi_next12 AS y FROM folds WHERE role = '{r}'" for r in ("train", "val")],
+                                       first=(_FOLD_CTE,)))
+def q_ridge_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F9 for the ridge candidate: all folds from one table of statistics."""
+    from ..functions.common import round_ratio
+    from ..operators.models import walk_forward_backtest
+    cv = walk_forward_backtest(_split(spark, sf_dir), CATEGORICAL_FEATURES, NUMERIC_FEATURES, model="ridge")
+    return cv.select("model", "split", "train_n", "val_n", *[round_ratio(F.col(c)).alias(c) for c in ("mae", "rmse", "r2")])
+
+
+IMPORTANCE_REPEATS, IMPORTANCE_SEED = 10, 42
+
+
+def _importance_sql() -> str:
+    from ..operators.permute import permuted_sql, round_keys
+    features = (*CATEGORICAL_FEATURES, *NUMERIC_FEATURES)
+    draws = ", ".join(f"('{f}', {r}, {round_keys(IMPORTANCE_SEED, f, r)}::BIGINT[][])" for f in features for r in range(IMPORTANCE_REPEATS))
+    return _ridge_sql(f"""
+SELECT feature, {q.money('avg(d)')} AS importance_mean, {q.money('stddev_pop(d)')} AS importance_std, any_value(n) AS n_test FROM (
+  SELECT e.feature, e.repeat, avg(abs(e.y - e.pred + o.part - g.part)) - any_value(b.mae) AS d, any_value(b.n) AS n
+  FROM moved e JOIN rg_part o ON o.rid = e.rid AND o.col = e.feature
+  JOIN numbered s ON s.pos = e.source JOIN rg_part g ON g.rid = s.rid AND g.col = e.feature, base b
+  GROUP BY e.feature, e.repeat)
+GROUP BY feature
+""", more=(
+        """numbered AS MATERIALIZED (SELECT p.*, row_number() OVER (ORDER BY d.deal_id) - 1 AS pos, count(*) OVER () AS n
+           FROM rg_pred p JOIN split d ON p.rid = d.row_ix)""",
+        "base AS (SELECT avg(abs(y - pred)) AS mae, count(*) AS n FROM rg_pred)",
+        f"draws AS (SELECT * FROM (VALUES {draws}) t(feature, repeat, keys))",
+        f"moved AS MATERIALIZED (SELECT rid, y, pred, feature, repeat, {permuted_sql('pos', 'n', 'keys')} AS source FROM numbered, draws)"))
+
+
+@register("feature_importance", _importance_sql())
 def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permutation importance (10 repeats, seed 42, MAE) of the ridge model."""
-    from ..operators.models import fit_candidate, fit_feature_spec, permutation_importance
+    from ..functions.common import round_money
+    from ..operators.models import fit_candidate, permutation_importance
     train, test = _train_test(spark, sf_dir)
-    spec = fit_feature_spec(train, CATEGORICAL_FEATURES, NUMERIC_FEATURES)
-    m = fit_candidate("ridge", train, spec)
-    imp = permutation_importance(m, test, [*CATEGORICAL_FEATURES, *NUMERIC_FEATURES])
-    return imp.orderBy(F.col("importance_mean").desc(), F.col("feature"))
+    m = fit_candidate("ridge", train, CATEGORICAL_FEATURES, NUMERIC_FEATURES)
+    imp = permutation_importance(m, test, [*CATEGORICAL_FEATURES, *NUMERIC_FEATURES], IMPORTANCE_REPEATS, IMPORTANCE_SEED)
+    return imp.orderBy(F.col("importance_mean").desc(), F.col("feature")).select(
+        "feature", round_money(F.col("importance_mean")).alias("importance_mean"), round_money(F.col("importance_std")).alias("importance_std"), "n_test")
 
 
-@register("ridge_coefficients")
+@register("ridge_coefficients", _ridge_sql(f"""
+SELECT name AS feature, {q.money('w')} AS coefficient FROM rg_w ORDER BY {q.money('abs(w)')} DESC, name LIMIT 50
+"""))
 def q_ridge_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-50 ridge coefficients by absolute value."""
-    from ..operators.models import fit_candidate, fit_feature_spec, ridge_coefficients
+    from ..functions.common import round_money
+    from ..operators.models import fit_candidate, ridge_coefficients
     train, _test = _train_test(spark, sf_dir)
-    spec = fit_feature_spec(train, CATEGORICAL_FEATURES, NUMERIC_FEATURES)
-    return ridge_coefficients(fit_candidate("ridge", train, spec))
+    top = ridge_coefficients(fit_candidate("ridge", train, CATEGORICAL_FEATURES, NUMERIC_FEATURES), spark)
+    return top.select("feature", round_money(F.col("coefficient")).alias("coefficient"))
 
 
 # ---------------------------------------------------------------------------

@@ -219,3 +219,56 @@ pf_cf AS (
   GROUP BY {', '.join('p.' + c for c in keys)}, s.price, s.ltv
 )
 """
+
+
+def ridge_ctes(fit: str, score: str, cats, nums, alpha: str = "1e0") -> list[str]:
+    """CTEs of ridge models by normal equations, eliminated in a recursive CTE.
+
+    ``fit`` and ``score`` are queries with grp (a model for each), rid, the
+    columns and y.  Results: rg_w (grp, name, w, mu), rg_pred (grp, rid, y, pred) and rg_part (grp, rid, col,
+    part: what a column adds).  Numeric columns are imputed, centred and scaled row by row.
+    """
+    med = ", ".join(f"quantile_cont({c}, 0.5) AS {c}" for c in nums)
+    modes = [f"rg_mode_{c} AS (SELECT grp, first(v ORDER BY n DESC, v) AS m FROM (SELECT grp, {c} AS v, count(*) AS n FROM rg_fit "
+             f"WHERE {c} IS NOT NULL GROUP BY grp, {c}) GROUP BY grp)" for c in cats]
+    stat = ", ".join(f"avg({c}) AS mu_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1e0 ELSE stddev_pop({c}) END AS sd_{c}" for c in nums)
+
+    def imputed(rel: str) -> str:
+        return (f"SELECT f.grp, f.rid, f.y, {', '.join(f'coalesce(CAST(f.{c} AS DOUBLE), m.{c}) AS {c}' for c in nums)}, "
+                f"{', '.join(f'coalesce(f.{c}, o_{c}.m) AS {c}' for c in cats)} FROM {rel} f JOIN rg_med m ON f.grp = m.grp "
+                + " ".join(f"LEFT JOIN rg_mode_{c} o_{c} ON f.grp = o_{c}.grp" for c in cats))
+
+    def long(rel: str) -> str:
+        return " UNION ALL ".join(
+            [f"SELECT grp, rid, '{c}' AS col, '{c}_' || {c} AS name, 1e0 AS z FROM {rel}" for c in cats]
+            + [f"SELECT r.grp, rid, '{c}', '{c}', ({c} - mu_{c}) / sd_{c} FROM {rel} r JOIN rg_stat s ON r.grp = s.grp" for c in nums])
+
+    return [
+        f"rg_fit AS ({fit})", f"rg_score AS ({score})", f"rg_med AS (SELECT grp, {med} FROM rg_fit GROUP BY grp)", *modes,
+        f"rg_imp AS ({imputed('rg_fit')})", f"rg_stat AS (SELECT grp, count(*) AS n, avg(y) AS ybar, {stat} FROM rg_imp GROUP BY grp)",
+        f"rg_long AS ({long('rg_imp')})",
+        """rg_feat AS (SELECT l.grp, name, row_number() OVER (PARTITION BY l.grp ORDER BY name) AS j, sum(z) / any_value(s.n) AS mu
+            FROM rg_long l JOIN rg_stat s ON l.grp = s.grp GROUP BY l.grp, name)""",
+        "rg_x AS MATERIALIZED (SELECT l.grp, l.rid, f.j, l.z FROM rg_long l JOIN rg_feat f ON l.grp = f.grp AND l.name = f.name)",
+        "rg_pair AS (SELECT a.grp, a.j AS i, b.j AS j, sum(a.z * b.z) AS s FROM rg_x a JOIN rg_x b ON a.grp = b.grp AND a.rid = b.rid GROUP BY ALL)",
+        """rg_xy AS (SELECT x.grp, x.j, sum(x.z * (r.y - s.ybar)) AS v FROM rg_x x JOIN rg_imp r ON x.grp = r.grp AND x.rid = r.rid
+            JOIN rg_stat s ON x.grp = s.grp GROUP BY ALL)""",
+        f"""rg_full AS (SELECT a.grp, a.j AS i, b.j AS j, coalesce(p.s, 0e0) - t.n * a.mu * b.mu + CASE WHEN a.j = b.j THEN {alpha} ELSE 0e0 END AS v
+            FROM rg_feat a JOIN rg_feat b ON a.grp = b.grp JOIN rg_stat t ON a.grp = t.grp
+            LEFT JOIN rg_pair p ON p.grp = a.grp AND p.i = a.j AND p.j = b.j)""",
+        """rg_row AS (SELECT f.grp, i, list_append(list(f.v ORDER BY f.j), any_value(y.v)) AS r FROM rg_full f
+            JOIN rg_xy y ON f.grp = y.grp AND f.i = y.j GROUP BY f.grp, i)""",
+        """rg_ge AS (SELECT grp, 0 AS k, list(r ORDER BY i) AS m, count(*) AS d FROM rg_row GROUP BY grp
+            UNION ALL
+            SELECT grp, k + 1, list_transform(m, lambda r, i: CASE WHEN i = k + 1 THEN r ELSE
+                     list_transform(r, lambda x, j: x - r[k + 1] / m[k + 1][k + 1] * m[k + 1][j]) END), d FROM rg_ge WHERE k < d)""",
+        """rg_w AS MATERIALIZED (SELECT g.grp, f.name, f.mu, g.m[f.j][g.d + 1] / g.m[f.j][f.j] AS w FROM rg_ge g JOIN rg_feat f ON g.grp = f.grp
+            WHERE g.k = g.d)""",
+        f"rg_simp AS ({imputed('rg_score')})", f"rg_slong AS ({long('rg_simp')})",
+        "rg_b AS (SELECT s.grp, s.ybar - (SELECT sum(w * mu) FROM rg_w w WHERE w.grp = s.grp) AS b FROM rg_stat s)",
+        """rg_pred AS MATERIALIZED (SELECT s.grp, s.rid, any_value(s.y) AS y, any_value(b.b) + coalesce(sum(w.w * l.z), 0e0) AS pred
+            FROM rg_simp s JOIN rg_b b ON s.grp = b.grp JOIN rg_slong l ON s.grp = l.grp AND s.rid = l.rid
+            LEFT JOIN rg_w w ON l.grp = w.grp AND l.name = w.name GROUP BY s.grp, s.rid)""",
+        """rg_part AS (SELECT l.grp, l.rid, l.col, coalesce(w.w * l.z, 0e0) AS part FROM rg_slong l
+            LEFT JOIN rg_w w ON l.grp = w.grp AND l.name = w.name)""",
+    ]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import dataset_profile, table_fingerprint
 from ..operators.models import holdout_compare, permutation_importance, ridge_coefficients, walk_forward_backtest
-from ..operators.split import time_split, walk_forward
+from ..operators.split import time_split
 from ..sources.reports import (importance_report, model_snapshot, read_snapshot_lenient, save_model,
                                write_csv_report, write_json_report)
 
@@ -41,8 +41,7 @@ def train_validate_explain(deals: DataFrame, out_dir: str, categorical: Sequence
     snapshot = model_snapshot(spark, best_name, metrics, fp, f"{out}/model")
     write_json_report(snapshot, f"{out}/model_snapshot")
 
-    folds = walk_forward(split, n_splits)
-    cv = walk_forward_backtest(folds, categorical, numeric, model=cv_model, gbt_iter=gbt_iter)
+    cv = walk_forward_backtest(split, categorical, numeric, model=cv_model, n_splits=n_splits, gbt_iter=gbt_iter)
     write_csv_report(cv, f"{out}/ts_cv_metrics")
     summary = cv.groupBy("model").agg(F.avg("mae").alias("mae_mean"), F.stddev_samp("mae").alias("mae_std"),
                                       F.avg("rmse").alias("rmse_mean"), F.stddev_samp("rmse").alias("rmse_std"))
@@ -51,7 +50,7 @@ def train_validate_explain(deals: DataFrame, out_dir: str, categorical: Sequence
     imp = permutation_importance(best, test, [*categorical, *numeric])
     fi = imp.orderBy(F.col("importance_mean").desc(), F.col("feature"))
     write_csv_report(fi.drop("n_test"), f"{out}/feature_importance")
-    coefs = ridge_coefficients(best) if best_name == "ridge" else None
+    coefs = ridge_coefficients(best, spark) if best_name == "ridge" else None
     snap = read_snapshot_lenient(spark, f"{out}/model_snapshot")
     report = importance_report(spark, imp, snap, fp, test.count(), coefs)
     write_json_report(report, f"{out}/feature_importance_json")
