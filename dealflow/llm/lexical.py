@@ -44,19 +44,17 @@ from .common import shared_folder, slices, written
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WEIGHT_SCALE, IMPACT_SCALE, TF_SCALE, SATURATION, LENGTH_SHARE = 1000, 1_000_000_000, 1000, 8, 90
 
-LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+#: TERM over UTF-8, whose bytes beyond ASCII belong to characters beyond ASCII.
+TERM_BYTES = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 NO_ID = (1 << 63) - 1  # stands for a null doc_id: comes last on ties
 LISTS = "block bigint, term string, at array<int>, tf array<int>, docs array<bigint>"
 BLOCKS = "block bigint, docs array<bigint>, ids array<int>, starts array<int>, largest array<bigint>, joint array<bigint>, at array<int>, impacts array<bigint>"
 
 
-def counted(text: str) -> dict[str, int]:
-    """Terms of a text and how often each occurs."""
-    out: dict[str, int] = {}
-    for raw, n in Counter(re.findall(TERM, text)).items():
-        term = raw.translate(LOWER)
-        out[term] = out.get(term, 0) + n
-    return out
+def counted(text: bytes) -> Counter[bytes]:
+    """Terms of a UTF-8 text and how often each occurs."""
+    return Counter(TERM_BYTES.findall(text.translate(LOWER)))
 
 
 def weight(n_docs: int, df: int) -> int:
@@ -69,44 +67,38 @@ class _Block:
     """The documents of one block while they are read, and their postings."""
 
     def __init__(self, block: int):
-        self.block, self.docs, self.sizes, self.lists = block, [], array("i"), {}
-
-    def add(self, doc_id: int | None, text: str) -> None:
-        terms, at = counted(text), len(self.docs)
-        if not terms:
-            return
-        self.docs.append(doc_id)
-        self.sizes.append(sum(terms.values()))
-        for term, tf in terms.items():
-            held = self.lists.get(term)
-            if held is None:
-                held = self.lists[term] = array("i")
-            held.append(at)
-            held.append(tf)
-
-    def batches(self, at_once: int = 20_000) -> Iterator[pa.RecordBatch]:
+        self.block, self.docs, self.sizes, self.numbers = block, [], [], {}
+        self.term, self.at, self.tf = array("i"), array("i"), array("i")
+
+    def add(self, doc_id: int | None, text: bytes) -> None:
+        terms, numbers = counted(text), self.numbers
+        if terms:
+            self.term.extend([numbers.setdefault(t, len(numbers)) for t in terms])
+            self.at.extend([len(self.docs)] * len(terms))
+            self.tf.extend(terms.values())
+            self.docs.append(doc_id)
+            self.sizes.append(terms.total())
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
         if not self.docs:
             return
-        yield _rows([self.block], [None], [[]], [np.frombuffer(self.sizes, np.int32)], [self.docs])
-        terms = sorted(self.lists)
-        for begin in range(0, len(terms), at_once):
-            some = terms[begin:begin + at_once]
-            held = [np.frombuffer(self.lists[t], np.int32) for t in some]
-            yield _rows([self.block] * len(some), some, [x[::2] for x in held], [x[1::2] for x in held], [[]] * len(some))
-
+        yield _rows(self.block, pa.nulls(1, pa.string()), np.zeros(2), np.zeros(0), np.array([0, len(self.sizes)]), np.array(self.sizes), [self.docs])
+        # postings by term; within a term they stay in the order of the documents
+        term = np.frombuffer(self.term, np.int32)
+        order = np.argsort(term, kind="stable")
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(self.numbers)))])
+        yield _rows(self.block, pa.array(list(self.numbers), pa.binary()).cast(pa.string()), bounds, np.frombuffer(self.at, np.int32)[order],
+                    bounds, np.frombuffer(self.tf, np.int32)[order], None)
 
-def _lists(values: list, kind: pa.DataType) -> pa.Array:
-    offsets = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
-    if kind == pa.int64():
-        flat = pa.array([x for v in values for x in v], kind)
-    else:
-        flat = pa.array(np.concatenate([np.asarray(v, np.int32) for v in values]) if values else np.zeros(0, np.int32), kind)
-    return pa.ListArray.from_arrays(pa.array(offsets), flat)
 
+def _rows(block: int, term: pa.Array, at_bounds: np.ndarray, at: np.ndarray, tf_bounds: np.ndarray, tf: np.ndarray, docs: list | None) -> pa.RecordBatch:
+    def lists(bounds, values):
+        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values.astype(np.int32)))
 
-def _rows(block: list, term: list, at: list, tf: list, docs: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(term, pa.string()), _lists(at, pa.int32()), _lists(tf, pa.int32()),
-                                       _lists(docs, pa.int64())], ["block", "term", "at", "tf", "docs"])
+    n = len(term)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(n, block, np.int64)), term, lists(at_bounds, at), lists(tf_bounds, tf),
+         pa.nulls(n, pa.list_(pa.int64())) if docs is None else pa.array(docs, pa.list_(pa.int64()))], ["block", "term", "at", "tf", "docs"])
 
 
 def build_index(docs: DataFrame, folder: str | None = None, block_docs: int = 2048, block_bytes: int = 4 << 20) -> str:
@@ -130,7 +122,7 @@ def build_index(docs: DataFrame, folder: str | None = None, block_docs: int = 20
         held, slot, n_bytes = None, None, 0
         for batch in slices(batches, "text"):
             for s, doc_id, text in zip(batch.column("slot").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text")):
-                text = text.as_py()
+                data = text.as_buffer().to_pybytes()
                 # slots are filled by a hash: one that got far more than its share is cut
                 full = s == slot and (len(held.docs) >= 2 * block_docs or n_bytes >= 2 * block_bytes)
                 if s != slot or full:
@@ -138,8 +130,8 @@ def build_index(docs: DataFrame, folder: str | None = None, block_docs: int = 20
                         yield from held.batches()
                     held, n_bytes = _Block(held.block + 1 if full else s), 0
                     slot = s
-                held.add(doc_id, text)
-                n_bytes += len(text)
+                held.add(doc_id, data)
+                n_bytes += len(data)
         if held is not None:
             yield from held.batches()
 
@@ -301,7 +293,7 @@ def search(spark: SparkSession, folder: str, items: DataFrame, k: int = 10, term
     """item_id, rank, doc_id, score: the k documents of the index with the highest scores for each item (item_id, text)."""
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            own = [sorted(counted(t)) for t in batch.column("text").to_pylist()]
+            own = [sorted(t.decode() for t in counted(x.encode())) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("item_id"), pa.array(own, pa.list_(pa.string()))], ["item_id", "terms"])
 
     asked = items.select(F.col("item_id").cast("bigint").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

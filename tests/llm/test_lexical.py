@@ -89,8 +89,10 @@ def test_bounds_hold_and_skip():
 
 
 def test_terms():
-    assert counted("The the, THE_x1 É é") == {"the": 3, "x1": 1, "É": 1, "é": 1}
-    assert counted("") == {} and counted("-- !") == {}
+    assert counted("The the, THE_x1 É é".encode()) == {b"the": 3, b"x1": 1, "É".encode(): 1, "é".encode(): 1}
+    assert counted(b"") == {} and counted(b"-- !") == {}
+    text = "".join(map(chr, range(0x300))) + "漢字🙂A"  # every boundary of the pattern
+    assert {t.decode() for t in counted(text.encode())} == set(terms(text))
 
 
 def test_query_matches_sql(spark):
