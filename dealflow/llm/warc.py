@@ -211,12 +211,14 @@ def _compressed(rows: DataFrame) -> DataFrame:
 
 
 def _sharded(packed: DataFrame, roll_bytes: int) -> DataFrame:
-    """shard, start, member: a record belongs to the file in whose span of all compressed bytes it begins."""
+    """shard, start, member, a range partition for each shard: a record belongs to the file in whose span of all compressed bytes it begins."""
     # a row for each partition, with the bytes of earlier ones
     parts = packed.groupBy("part").agg(F.max(F.col("start") + F.octet_length("member")).alias("held"))
+    total = parts.agg(F.sum("held").alias("n")).first()["n"] or 0
     parts = parts.select("part", (F.sum("held").over(Window.orderBy("part")) - F.col("held")).alias("earlier"))
     start = F.col("earlier") + F.col("start")
-    return join_small(packed, parts, "part").select(F.floor(start / roll_bytes).cast("bigint").alias("shard"), start.alias("start"), "member")
+    placed = join_small(packed, parts, "part").select(F.floor(start / roll_bytes).cast("bigint").alias("shard"), start.alias("start"), "member")
+    return placed.repartitionByRange(total // roll_bytes + 1, "shard").sortWithinPartitions("shard", "start")
 
 
 def write_warc(pages: DataFrame, folder: str, min_payload: int = 1000, roll_bytes: int = 8 << 20) -> None:
@@ -267,7 +269,7 @@ def write_warc(pages: DataFrame, folder: str, min_payload: int = 1000, roll_byte
                     raise OSError(f"{row['file']} has not the size its manifest names")
             yield batch.select(["file"])
 
-    files = _sharded(_compressed(records(pages, min_payload)), roll_bytes).repartition("shard").sortWithinPartitions("shard", "start")
+    files = _sharded(_compressed(records(pages, min_payload)), roll_bytes)
     files.select("shard", "member").mapInArrow(store, MANIFEST).write.parquet(f"{folder}/manifest")
     read_manifest(spark, folder).mapInArrow(rename, "file string").agg(F.count(F.lit(1)).alias("n_files")).write.json(f"{folder}/committed")
 
@@ -307,9 +309,12 @@ def read_warc(spark: SparkSession, folder: str, payloads: bool = True) -> DataFr
         for batch in batches:
             yield from _in_batches(found(batch.column("file").to_pylist()), FOUND, 2)
 
-    if spark.read.schema("n_files bigint").json(f"{folder}/committed").first() is None:
+    marker = spark.read.schema("n_files bigint").json(f"{folder}/committed").first()
+    if marker is None:
         raise OSError(f"{folder} holds no committed archives")
-    return read_manifest(spark, folder).select("file").repartition("file").mapInArrow(run, FOUND_SCHEMA)
+    # a task for each file, which no byte-sized merging undoes
+    files = read_manifest(spark, folder).repartitionByRange(max(1, marker["n_files"]), "shard")
+    return files.select("file").mapInArrow(run, FOUND_SCHEMA)
 
 
 def round_trip(pages: DataFrame, min_payload: int = 1000, roll_bytes: int = 8 << 20, folder: str | None = None) -> DataFrame:
