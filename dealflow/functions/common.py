@@ -80,7 +80,9 @@ def round_to(c: Column, decimals: int, max_sig: int = 9) -> Column:
 
 
 def round_money(c: Column) -> Column:
-    return round_to(c, 2)
+    """Two decimals at any size; a double of 2^53 cents or more has none to round."""
+    cents = F.floor(c * F.lit(100.0) + F.lit(0.5)).cast("double") / F.lit(100.0)
+    return F.when(F.abs(c) < F.lit(2.0 ** 53 / 100), cents).otherwise(c)
 
 
 def round_ratio(c: Column) -> Column:

@@ -8,7 +8,7 @@ read once, in parallel, however many rows point at them.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,14 +30,36 @@ def read_document_files(spark: SparkSession, path: str, recursive: bool = True)
     return files.select(F.col("path"), extension(F.col("path")).alias("ext"), text.alias("text"))
 
 
-def document_status(ref: DataFrame, files: DataFrame, path_col: str = "path") -> DataFrame:
+def resolved_path(path: Column, base_path: str | Column | None = None) -> Column:
+    """A path as the file source names it: relative ones below ``base_path``, ``.`` and ``..`` taken out.
+
+    Local paths have no scheme, whether they came with ``file:`` or not; other
+    schemes (``s3://bucket/...``) are kept.  Without a base relative paths stay relative.
+    """
+    plain = F.regexp_replace(path, "^file:/+", "/")
+    if base_path is not None:
+        base = F.regexp_replace(base_path if isinstance(base_path, Column) else F.lit(base_path), "^file:/+|(?<=[^/])/+$", "")
+        base = F.when(base.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*://)"), base).otherwise(F.concat(F.lit("/"), base))
+        plain = F.when(plain.rlike("^(/|[A-Za-z][A-Za-z0-9+.-]*://)"), plain).otherwise(F.concat(base, F.lit("/"), plain))
+    root = F.regexp_extract(plain, "^([A-Za-z][A-Za-z0-9+.-]*://[^/]*|)(/?)", 0)
+    steps = F.filter(F.split(F.substring(plain, F.length(root) + 1, F.length(plain)), "/"), lambda x: (x != "") & (x != "."))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda done, x: F.when(
+        x != "..", F.concat(done, F.array(x))).when(F.size(done) > 1, F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.array().cast("array<string>")))
+    return F.concat(root, F.array_join(kept, "/"))
+
+
+def document_status(ref: DataFrame, files: DataFrame, path_col: str = "path", base_path: str | Column | None = None) -> DataFrame:
     """Join referenced paths to files and classify them.
 
     ``status``: ok | missing | unsupported (not a text
-    format).  Adds ``doc_text`` (normalised, only for ok).
+    format).  Adds ``doc_text`` (normalised, only for ok).  With ``base_path``, both sides
+    are compared as resolved paths.
     """
-    f = files.select(F.col("path").alias("_fpath"), F.col("text").alias("_ftext"))
-    j = ref.join(f, ref[path_col] == f["_fpath"], "left")
+    named, wanted = F.col("path"), F.col(path_col)
+    if base_path is not None:
+        named, wanted = resolved_path(named), resolved_path(wanted, base_path)
+    f = files.select(named.alias("_fpath"), F.col("text").alias("_ftext"))
+    j = ref.withColumn("_wanted", wanted).join(f, F.col("_wanted") == F.col("_fpath"), "left")
     ext = extension(F.col(path_col))
     status = (F.when(F.col("_fpath").isNull(), F.lit("missing"))
               .when(~ext.isin(*TEXT_EXTENSIONS), F.lit("unsupported"))
@@ -53,7 +75,7 @@ def document_status(ref: DataFrame, files: DataFrame, path_col: str = "path") ->
 
 def combine_text(rows: DataFrame, files: DataFrame, key: str, inline_col: str | None, paths_col: str | None,
                  strict: bool = False, max_chars: int = MAX_CHARS,
-                 output_col: str = UNSTRUCTURED_TEXT_COL) -> DataFrame:
+                 output_col: str = UNSTRUCTURED_TEXT_COL, base_path: str | Column | None = None) -> DataFrame:
     """Inline text first, then documents in list order, joined by one space.
 
     Only the first ``max_chars`` characters are kept.  Each document is cut to
@@ -70,14 +92,14 @@ def combine_text(rows: DataFrame, files: DataFrame, key: str, inline_col: str |
         paths = F.array().cast("array<string>")
     base = rows.select(key, inline.alias("_inline"), paths.alias("_paths"))
     refs = base.select(key, F.posexplode("_paths").alias("_pos", "path"))
-    st = document_status(refs, files)
+    st = document_status(refs, files, base_path=base_path)
     chunks = st.groupBy(key).agg(
         F.array_sort(F.collect_list(F.when((F.col("status") == "ok") & (F.col("doc_text") != ""),
                                            F.struct(F.col("_pos"), F.substring("doc_text", 1, max_chars)
                                                     .alias("t"))))).alias("_chunks"),
         F.count(F.lit(1)).alias("n_paths"),
         F.count_if(F.col("status") == "ok").alias("n_docs_ok"),
-        F.first(F.when(F.col("status") != "ok", F.col("status_message")), ignorenulls=True).alias("_first_err"),
+        F.min_by("status_message", F.when(F.col("status") != "ok", F.col("_pos"))).alias("_first_err"),
     )
     out = base.join(chunks, key, "left")
     pieces = F.concat(F.array(F.col("_inline")),
@@ -91,6 +113,20 @@ def combine_text(rows: DataFrame, files: DataFrame, key: str, inline_col: str |
     return res.drop("_first_err")
 
 
+def ensure_text(df: DataFrame, files: DataFrame, key: str, notes_col: str = "deal_notes", paths_col: str = "document_paths",
+                output_col: str = UNSTRUCTURED_TEXT_COL, base_path: str | Column | None = None) -> DataFrame:
+    """``df`` with ``output_col`` and without the raw columns.
+
+    A text column that is there is only normalised; otherwise it's made from notes and
+    documents, and a column that isn't there counts as empty.
+    """
+    raw = [c for c in (notes_col, paths_col) if c in df.columns]
+    if output_col in df.columns:
+        return df.withColumn(output_col, normalize_text(F.col(output_col))).drop(*raw)
+    text = combine_text(df, files, key, notes_col, paths_col, output_col=output_col, base_path=base_path)
+    return df.drop(*raw).join(text.select(key, output_col), key, "left")
+
+
 def request_text(df: DataFrame, files: DataFrame, key: str) -> DataFrame:
     """``unstructured_text`` + newline + ``deal_notes`` (falsy parts skipped), then documents, strict."""
     parts = [F.nullif(F.col(c).cast("string"), F.lit("")) for c in ("unstructured_text", "deal_notes") if c in df.columns]

@@ -231,7 +231,10 @@ def q_proforma_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _grid_deals(spark: SparkSession, sf_dir: str, institutional: bool) -> DataFrame:
-    d = _deals(spark, sf_dir)
+    return _grid_axes(_deals(spark, sf_dir), institutional)
+
+
+def _grid_axes(d: DataFrame, institutional: bool) -> DataFrame:
     axes = {
         "purchase_prices": F.array(F.col("purchase_price") * F.lit(0.96), F.col("purchase_price")),
         "exit_cap_rates": F.array(F.lit(0.0625), F.lit(0.0675)),
@@ -297,54 +300,51 @@ _WI_RATIO = ("ltv", "interest_rate", "exit_cap_rate", "rent_growth", "occupancy_
              "cash_on_cash_year1", "min_dscr", "debt_yield_year1", "breakeven_occupancy_year1", "ltv_at_exit")
 
 
-@register("whatif_inst_topn")
-def q_whatif_inst_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _topn_columns() -> list:
     from ..functions.common import round_money, round_ratio
-    from ..operators.payloads import INST_PAYLOAD
-    from ..operators.scenario import column_predictor, whatif_inst
-    d = _grid_deals(spark, sf_dir, institutional=True)
-    res = whatif_inst(d, column_predictor(F.col("noi_next12")), INST_PAYLOAD,
-                      max_scenarios=40, top_n=5, sort_by="irr")
-    return res.scenarios.select("deal_id", "rank", "scenario_ix", "grid_size", "truncated",
-                                *[round_money(F.col(c)).alias(c) for c in _WI_MONEY],
-                                *[round_ratio(F.col(c)).alias(c) for c in _WI_RATIO])
+    # a row without a scenario has rank 0 and scenario -1
+    return [F.coalesce("rank", F.lit(0)).alias("rank"), F.coalesce("scenario_ix", F.lit(-1).cast("bigint")).alias("scenario_ix"), "grid_size",
+            F.coalesce("truncated", F.lit(False)).alias("truncated"), *[round_money(F.col(c)).alias(c) for c in _WI_MONEY],
+            *[round_ratio(F.col(c)).alias(c) for c in _WI_RATIO]]
 
 
-@register("whatif_inst_rejects", with_deals("""
-SELECT deal_id, CAST(32 AS BIGINT) AS grid_size, 'too_big' AS status FROM deals
-"""))
-def q_whatif_inst_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With 6 scenarios allowed, grids of 32 are over five times as many; every request comes back with its status."""
+@register("whatif_inst_topn")
+def q_whatif_inst_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's outcome; one that can't be underwritten has a row with the reason."""
     from ..operators.payloads import INST_PAYLOAD
     from ..operators.scenario import column_predictor, whatif_inst
-    d = _grid_deals(spark, sf_dir, institutional=True)
-    res = whatif_inst(d, column_predictor(F.col("noi_next12")), INST_PAYLOAD, max_scenarios=6, top_n=5)
-    return res.errors.select("deal_id", "grid_size", "status")
+    from ..operators.validate import validate
+    d = validate(_grid_axes(_intake(spark, sf_dir), institutional=True))
+    res = whatif_inst(d, column_predictor(F.col("noi_next12")), INST_PAYLOAD,
+                      max_scenarios=40, top_n=5, sort_by="irr", errors="errors")
+    return res.outcomes.select("deal_id", "status", "error", *_topn_columns())
 
 
-def _wi_sql() -> str:
+def _wi_parts(anchor: str, rel: str = "deals", cap: str = "40", top: str = "5", by: str = "irr_raw", join: str = "") -> tuple[str, str, str]:
+    """Source CTE, pro forma CTEs and body of the top-n query over ``rel``; ``anchor`` is the prediction in terms of wi_src ``s``."""
     from ..operators.payloads import INST_PAYLOAD_SQL
     knobs = dict(INST_PAYLOAD_SQL, exit_cap="s.ec", rent_growth="s.rg", shock_drop="s.od", bps="s.bps")
-    src = """
+    by_key = "NULL" if by == "irr_raw" else "d.sort_by"
+    src = f"""
 wi_src AS (
-  SELECT deal_id, ix, grid_size, noi_next12, price, ltv, rate0, amort0, rent1, opex1, occ1, sqft, ec, rg, od, bps
+  SELECT deal_id, ix, cap, top, by_key, grid_size, noi_next12, price, ltv, rate0, amort0, rent1, opex1, occ1, sqft, ec, rg, od, bps
   FROM (
-    SELECT d.deal_id, d.noi_next12, d.ltv, d.interest_rate AS rate0, d.amort_years AS amort0,
+    SELECT d.deal_id, {cap} AS cap, {top} AS top, {by_key} AS by_key, d.noi_next12, d.ltv, d.interest_rate AS rate0, d.amort_years AS amort0,
            d.gross_rent_t12 AS rent1, d.opex_t12 AS opex1, d.occupancy_t12 AS occ1, d.gross_leasable_sqft AS sqft,
            [d.purchase_price * 96e-2, d.purchase_price][i1 + 1] AS price,
            [625e-4, 675e-4][i4 + 1] AS ec, [2e-2, 3e-2][i5 + 1] AS rg, [0e0, 10e-2][i8 + 1] AS od,
            [0e0, 150e0][i9 + 1] AS bps,
            (((i1 * 2 + i4) * 2 + i5) * 2 + i8) * 2 + i9 AS ix, CAST(32 AS BIGINT) AS grid_size
-    FROM deals d, range(0, 2) a(i1), range(0, 2) b(i4), range(0, 2) c(i5), range(0, 2) e(i8), range(0, 2) f(i9)
-  ) WHERE ix < 40)
+    FROM {rel} d, range(0, 2) a(i1), range(0, 2) b(i4), range(0, 2) c(i5), range(0, 2) e(i8), range(0, 2) f(i9)
+  ) WHERE ix < cap)
 """
     body = f"""
-SELECT * EXCLUDE (irr_raw) FROM (
-  SELECT sm.deal_id,
-         CAST(row_number() OVER (PARTITION BY sm.deal_id ORDER BY isnan(irr_raw), irr_raw DESC NULLS LAST, sm.ix)
+SELECT * EXCLUDE (irr_raw, top) FROM (
+  SELECT sm.deal_id, 'ok' AS status, NULL::VARCHAR AS error,
+         CAST(row_number() OVER (PARTITION BY sm.deal_id ORDER BY isnan({by}), {by} DESC NULLS LAST, sm.ix)
               AS INTEGER) AS rank,
-         sm.ix AS scenario_ix, s.grid_size, s.grid_size > 40 AS truncated,
-         {q.money('s.price')} AS purchase_price, {q.money('s.noi_next12')} AS predicted_noi_next12,
+         sm.ix AS scenario_ix, s.grid_size, s.grid_size > s.cap AS truncated,
+         {q.money('s.price')} AS purchase_price, {q.money(anchor)} AS predicted_noi_next12,
          {', '.join(q.money('sm.' + c) + ' AS ' + c for c in _PF_MONEY)},
          {q.money('25e-2')} AS capex_reserve_per_sqft, {q.money('15e-2')} AS replacement_capex_per_sqft,
          {q.money('s.bps')} AS rate_shock_bps,
@@ -353,14 +353,27 @@ SELECT * EXCLUDE (irr_raw) FROM (
          {q.ratio('irr_raw')} AS irr, {q.ratio('sm.cash_on_cash_year1')} AS cash_on_cash_year1,
          {q.ratio('c.min_dscr')} AS min_dscr, {q.ratio('sm.debt_yield_year1')} AS debt_yield_year1,
          {q.ratio('sm.breakeven_occupancy_year1')} AS breakeven_occupancy_year1,
-         {q.ratio('sm.ltv_at_exit')} AS ltv_at_exit, irr_raw
+         {q.ratio('sm.ltv_at_exit')} AS ltv_at_exit, irr_raw, s.top
   FROM pf_sum sm
   JOIN (SELECT *, {q.irr('cfs')} AS irr_raw FROM pf_cf) c ON sm.deal_id = c.deal_id AND sm.ix = c.ix
-  JOIN wi_src s ON sm.deal_id = s.deal_id AND sm.ix = s.ix
+  JOIN wi_src s ON sm.deal_id = s.deal_id AND sm.ix = s.ix {join}
   WHERE irr_raw IS NOT NULL
-) WHERE rank <= 5
+) WHERE rank <= top
 """
-    return with_deals(body, src, q.proforma_ctes("wi_src", ["deal_id", "ix"], knobs), recursive=True)
+    return src, q.proforma_ctes("wi_src", ["deal_id", "ix"], knobs), body
+
+
+def _wi_sql() -> str:
+    src, pf, body = _wi_parts("s.noi_next12")
+    empty = ", ".join(f"NULL AS {c}" for c in (*_WI_MONEY, *_WI_RATIO))
+    order = ("gross_leasable_sqft", "purchase_price", "noi_t12", "opex_t12", "gross_rent_t12")
+    return with_deals(f"""
+SELECT * FROM ({body})
+UNION ALL BY NAME
+SELECT deal_id, 'invalid' AS status, '{'; '.join(f'{c} is required' for c in order)}' AS error, 0 AS rank, CAST(-1 AS BIGINT) AS scenario_ix,
+       CAST(32 AS BIGINT) AS grid_size, false AS truncated, {empty}
+FROM intake WHERE gross_rent_t12 IS NULL
+""", src, pf, recursive=True)
 
 
 ORACLES["whatif_inst_topn"] = _wi_sql()
@@ -376,9 +389,16 @@ def _order_key() -> "F.Column":
     return F.substring("deal_id", 2, 9).cast("bigint")
 
 
+def _intake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.tables import intake
+    pin_session(spark)
+    return intake(spark, sf_dir)
+
+
 def dirty_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a request; those without lineitems lack price, size and income."""
     k = _order_key()
-    d = _deals(spark, sf_dir)
+    d = _intake(spark, sf_dir)
     return d.withColumns({
         "ltv": F.when(k % 13 == 0, F.lit(1.5)).otherwise(F.col("ltv")),
         "amort_years": F.when(k % 17 == 0, F.lit(0)).otherwise(F.col("amort_years")),
@@ -392,7 +412,7 @@ dirty AS (
     CASE WHEN CAST(substr(deal_id, 2) AS BIGINT) % 13 = 0 THEN 1.5e0 ELSE ltv END AS ltv,
     CASE WHEN CAST(substr(deal_id, 2) AS BIGINT) % 17 = 0 THEN 0 ELSE amort_years END AS amort_years,
     CASE WHEN CAST(substr(deal_id, 2) AS BIGINT) % 19 = 0 THEN NULL ELSE property_type END AS property_type)
-  FROM deals)
+  FROM intake)
 """
 
 
@@ -493,6 +513,209 @@ FROM (
 ORACLES["conditional_roi_map"] = _crm_sql()
 
 
+# ---------------------------------------------------------------------------
+# Requests with knobs of their own (P1-P5, W2, W5, W9, W11, W12, I1-I16):
+# every order asks with its own horizon, growth, shocks, refinancing, limits
+# and ranking key, some of them outside the rules (k = order key).
+# ---------------------------------------------------------------------------
+
+#: name -> (Spark SQL and DuckDB expression over k, the order key as BIGINT)
+_KNOBS = {
+    "exit_cap_rate": "CASE WHEN k % 43 = 0 THEN 0e0 ELSE 5e-2 + (k % 30) * 1e-3 END",
+    "selling_cost_pct": "(k % 7) * 5e-3",
+    "hold_years": "CAST(CASE WHEN k % 37 = 0 THEN 31 ELSE 1 + k % 12 END AS INTEGER)",
+    "interest_only_years": "CAST(k % 4 AS INTEGER)",
+    "rent_growth": "(k % 13 - 2) * 1e-2",
+    "opex_inflation": "CASE WHEN k % 5 = 0 THEN NULL ELSE (k % 5) * 1e-2 END",
+    "occupancy_target": "8e-1 + (k % 16) * 1e-2",
+    "occupancy_reversion_years": "CAST(1 + k % 5 AS INTEGER)",
+    "taxes_year1": "(k % 9) * 1e4",
+    "reassess_year": "CAST(1 + k % 4 AS INTEGER)",
+    "reassess_taxes": "k % 2 = 0",
+    "capex_reserve_per_sqft": "(k % 3) * 1e-1",
+    "occupancy_shock_year": "CAST(CASE WHEN k % 3 = 0 THEN NULL ELSE 1 + k % 5 END AS INTEGER)",
+    "occupancy_shock_drop": "CASE WHEN k % 47 = 0 THEN 12e-1 ELSE (k % 5) * 5e-2 END",
+    "occupancy_recovery_years": "CAST(1 + k % 3 AS INTEGER)",
+    "rate_shock_year": "CAST(CASE WHEN k % 4 = 1 THEN NULL ELSE 1 + k % 6 END AS INTEGER)",
+    "rate_shock_bps": "(k % 4) * 5e1",
+    "refi_year": "CAST(CASE WHEN k % 4 = 0 THEN NULL ELSE 1 + k % 9 END AS INTEGER)",
+    "refi_ltv": "(k % 6) * 1e-1",
+    "refi_rate": "(k % 2) * 55e-3",
+    "refi_amort_years": "CAST(20 + k % 11 AS INTEGER)",
+    "max_scenarios": "CAST((k % 23) * 30 AS INTEGER)",
+    "top_n": "CAST(1 + k % 3 AS INTEGER)",
+    "sort_by": "CASE k % 7 WHEN 0 THEN 'irr' WHEN 1 THEN 'min_dscr' WHEN 2 THEN 'debt_yield_year1' WHEN 3 THEN 'net_sale_proceeds' "
+               "WHEN 4 THEN 'cash_on_cash_year1' WHEN 5 THEN 'best' END",
+}
+_K_SQL = "CAST(substr(deal_id, 2) AS BIGINT)"
+
+
+def _varied(df: DataFrame) -> DataFrame:
+    """The knobs, a year map as text (one in 29 with a bad year) and an axis that one in 41 leaves empty."""
+    d = df.withColumn("k", _order_key()).withColumns({n: F.expr(e) for n, e in _KNOBS.items()})
+    return d.withColumns({
+        "value_add_capex": F.when(F.col("k") % 29 == 0, F.create_map(F.lit("soon"), F.lit("1000"))).when(
+            F.col("k") % 3 == 0, F.create_map(F.lit("2"), F.lit("25000"), F.lit("4"), (F.col("k") % 100 * 100).cast("string"))),
+        "rent_growths": F.when(F.col("k") % 41 == 0, F.array().cast("array<double>")).when(F.col("k") % 2 == 0, F.array(F.lit(0.02), F.lit(0.04))),
+    }).drop("k")
+
+
+def _varied_ctes(src: str = "intake") -> str:
+    return f"""
+varied AS (
+  SELECT *, {', '.join(f'{e} AS {n}' for n, e in _KNOBS.items())},
+         CASE WHEN k % 29 = 0 THEN NULL WHEN k % 3 = 0 THEN MAP {{2: 25000e0, 4: CAST(k % 100 * 100 AS DOUBLE)}} END AS years,
+         CASE WHEN k % 41 = 0 THEN []::DOUBLE[] WHEN k % 2 = 0 THEN [2e-2, 4e-2] END AS rent_growths
+  FROM (SELECT *, {_K_SQL} AS k FROM {src}))"""
+
+
+def _rules_sql(ranges, extra: tuple = ()) -> str:
+    from ..operators.validate import REQUIRED_FIELDS, range_message
+    checks = [f"CASE WHEN {c} IS NULL THEN '{c} is required' END" for c in REQUIRED_FIELDS]
+    for name, low, high, _default in ranges:
+        bad = " OR ".join([f"{name} < {low}"] * (low is not None) + [f"{name} > {high}"] * (high is not None))
+        checks.append(f"CASE WHEN {bad} THEN '{range_message(name, low, high)}' END")
+    return f"list_filter([{', '.join((*checks, *extra))}], lambda x: x IS NOT NULL)"
+
+
+def _rules_for(kind: str) -> str:
+    from ..operators import validate as v
+    known = {*_KNOBS, "ltv", "interest_rate", "amort_years"}
+    inst = [r for r in (*v.DEAL_RANGES, *v.INST_RANGES) if r[0] in known]
+    capex = "CASE WHEN k % 29 = 0 THEN 'value_add_capex: keys are years and values are amounts' END"
+    if kind == "underwriting":
+        return _rules_sql([*v.DEAL_RANGES, *[r for r in v.UNDERWRITE_RANGES if r[0] in known]])
+    if kind == "simple grid":
+        return _rules_sql([*v.DEAL_RANGES, *v.GRID_RANGES])
+    if kind == "institutional":
+        return _rules_sql(inst, (capex,))
+    return _rules_sql([*inst, *v.INST_GRID_RANGES], (
+        capex, "CASE WHEN len(rent_growths) = 0 THEN 'rent_growths: given, but without a value' END",
+        "CASE WHEN sort_by NOT IN ('irr', 'min_dscr', 'debt_yield_year1', 'net_sale_proceeds', 'cash_on_cash_year1') "
+        "THEN 'sort_by: none of cash_on_cash_year1, debt_yield_year1, irr, min_dscr, net_sale_proceeds' END"))
+
+
+_REQUEST_KINDS = ("underwriting", "simple grid", "institutional", "institutional grid")
+
+
+@register("validate_requests", with_deals(" UNION ALL ".join(f"""
+SELECT deal_id, '{kind}' AS request, CASE WHEN len(errs) = 0 THEN 'accepted' ELSE 'quarantined' END AS status, array_to_string(errs, '; ') AS errors
+FROM (SELECT deal_id, {_rules_for(kind)} AS errs FROM varied)""" for kind in _REQUEST_KINDS), _varied_ctes()))
+def q_validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P1-P5 for each kind of request: rules on knobs, limits, ranking key, axes and year map; every order is there."""
+    from ..operators.validate import validate_institutional, validate_simple_grid, validate_underwriting
+    d = _varied(_intake(spark, sf_dir))
+    kinds = dict(zip(_REQUEST_KINDS, (validate_underwriting, validate_simple_grid, validate_institutional,
+                                      lambda x: validate_institutional(x, grid=True))))
+    out = None
+    for kind, check in kinds.items():
+        own = check(d).select("deal_id", F.lit(kind).alias("request"), "status", F.array_join("errors", "; ").alias("errors"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _outcome_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirty orders with limits and a ranking key of their own; the rules on required fields only, so amort_years 0 reaches the grid."""
+    from ..operators.validate import validate
+    k = _order_key()
+    keys = F.array(*[F.lit(x) for x in ("irr", "min_dscr", "debt_yield_year1", "net_sale_proceeds", "cash_on_cash_year1")])
+    d = _grid_axes(dirty_deals(spark, sf_dir), institutional=True).withColumns({
+        "cap": (k % 45).cast("int"), "top": (1 + k % 3).cast("int"),
+        "sort_by": F.when(k % 31 == 0, F.lit("best")).otherwise(F.get(keys, (k % 5).cast("int")))})
+    return validate(d, ranges=())
+
+
+@register("whatif_inst_outcomes")
+def q_whatif_inst_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every request's outcome under its own cap, top-n and ranking key: ok, invalid, too_big or all_failed."""
+    from ..operators.payloads import INST_PAYLOAD
+    from ..operators.scenario import column_predictor, whatif_inst
+    res = whatif_inst(_outcome_requests(spark, sf_dir), column_predictor(F.col("noi_next12")), INST_PAYLOAD,
+                      max_scenarios=F.col("cap"), top_n=F.col("top"), sort_by=F.col("sort_by"), errors="errors")
+    error = F.col("error")
+    samples = (F.length(error) - F.length(F.replace(error, F.lit('"scenario_ix"'), F.lit("")))) / 13
+    return res.outcomes.select("deal_id", "status", F.substring_index("error", ": {", 1).alias("error"),
+                               F.coalesce(samples, F.lit(0)).cast("int").alias("error_samples"), *_topn_columns())
+
+
+def _outcomes_sql() -> str:
+    from ..operators.validate import REQUIRED_FIELDS
+    keys = "['irr', 'min_dscr', 'debt_yield_year1', 'net_sale_proceeds', 'cash_on_cash_year1']"
+    rules = [f"CASE WHEN {c} IS NULL THEN '{c} is required' END" for c in REQUIRED_FIELDS]
+    rules += ["CASE WHEN cap < 1 THEN 'max_scenarios: from 1 to 500' END",
+              f"CASE WHEN sort_by = 'best' THEN 'sort_by: none of {', '.join(sorted(x.strip(chr(39)) for x in keys[1:-1].split(', ')))}' END"]
+    asked = f"""
+asked AS (
+  SELECT *, CASE WHEN len(errs) > 0 THEN 'invalid' WHEN 32 > 5 * cap THEN 'too_big' WHEN amort_years = 0 THEN 'all_failed' ELSE 'ok' END AS status
+  FROM (SELECT *, list_filter([{', '.join(rules)}], lambda x: x IS NOT NULL) AS errs FROM (
+    SELECT *, CAST(k % 45 AS BIGINT) AS cap, 1 + k % 3 AS top, CASE WHEN k % 31 = 0 THEN 'best' ELSE ({keys})[k % 5 + 1] END AS sort_by
+    FROM (SELECT *, {_K_SQL} AS k FROM dirty)))),
+able AS (SELECT * FROM asked WHERE status = 'ok')"""
+    by = ("(CASE s.by_key WHEN 'min_dscr' THEN c.min_dscr WHEN 'debt_yield_year1' THEN sm.debt_yield_year1 "
+          "WHEN 'net_sale_proceeds' THEN sm.net_sale_proceeds WHEN 'cash_on_cash_year1' THEN sm.cash_on_cash_year1 ELSE irr_raw END)")
+    src, pf, body = _wi_parts("s.noi_next12", rel="able", cap="d.cap", top="d.top", by=by)
+    empty = ", ".join(f"NULL AS {c}" for c in (*_WI_MONEY, *_WI_RATIO))
+    return with_deals(f"""
+SELECT *, 0 AS error_samples FROM ({body})
+UNION ALL BY NAME
+SELECT deal_id, status, CASE status WHEN 'invalid' THEN array_to_string(errs, '; ')
+         WHEN 'too_big' THEN 'grid of 32 scenarios; ' || (5 * cap) || ' are allowed, so shorten the axes'
+         ELSE 'no scenario could be computed; the first errors' END AS error,
+       CASE WHEN status = 'all_failed' THEN least(5, cap, 32) ELSE 0 END AS error_samples,
+       0 AS rank, CAST(-1 AS BIGINT) AS scenario_ix, CAST(32 AS BIGINT) AS grid_size, false AS truncated, {empty}
+FROM asked WHERE status <> 'ok'
+""", _DIRTY_SQL, asked, src, pf, recursive=True)
+
+
+ORACLES["whatif_inst_outcomes"] = _outcomes_sql()
+
+
+_VARIED_KNOBS_SQL = {
+    "hold": "s.hold_years", "exit_cap": "s.exit_cap_rate", "sell": "s.selling_cost_pct", "io_years": "s.interest_only_years",
+    "rent_growth": "s.rent_growth", "opex_infl": "coalesce(s.opex_inflation, 3e-2)", "occ_target": "s.occupancy_target",
+    "reversion": "s.occupancy_reversion_years", "taxes1": "s.taxes_year1", "reassess": "s.reassess_taxes", "reassess_year": "s.reassess_year",
+    "reserve_psf": "s.capex_reserve_per_sqft", "value_add": "s.years", "shock_year": "s.occupancy_shock_year", "shock_drop": "s.occupancy_shock_drop",
+    "recovery": "s.occupancy_recovery_years", "rate_shock_year": "s.rate_shock_year", "bps": "s.rate_shock_bps", "refi_year": "s.refi_year",
+    "refi_ltv": "s.refi_ltv", "refi_rate": "s.refi_rate", "refi_amort": "s.refi_amort_years",
+}
+_VARIED_SRC = f"""
+pf_src AS (
+  SELECT *, purchase_price AS price, interest_rate AS rate0, amort_years AS amort0, gross_rent_t12 AS rent1, opex_t12 AS opex1,
+         occupancy_t12 AS occ1, gross_leasable_sqft AS sqft
+  FROM varied WHERE len({_rules_for('institutional')}) = 0)"""
+
+
+def _assumption_columns(**more):
+    """The institutional knobs as columns of the request."""
+    from dataclasses import fields
+
+    from ..operators.proforma import InstAssumptions
+    return InstAssumptions(**{f.name: f.name for f in fields(InstAssumptions) if f.name != "extra"} | more)
+
+
+@register("proforma_varied", with_deals(f"""
+SELECT sm.deal_id, {', '.join(q.money('sm.' + c) + ' AS ' + c for c in _PF_MONEY)},
+       {q.ratio('sm.cash_on_cash_year1')} AS cash_on_cash_year1, {q.ratio('c.min_dscr')} AS min_dscr,
+       {q.ratio('sm.debt_yield_year1')} AS debt_yield_year1, {q.ratio('sm.breakeven_occupancy_year1')} AS breakeven_occupancy_year1,
+       {q.ratio('sm.ltv_at_exit')} AS ltv_at_exit
+FROM pf_sum sm JOIN pf_cf c ON sm.deal_id = c.deal_id
+""", _varied_ctes(), _VARIED_SRC, q.proforma_ctes("pf_src", ["deal_id"], _VARIED_KNOBS_SQL), recursive=True))
+def q_proforma_varied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E5: accepted institutional requests, each with its own horizon, interest-only years, shocks, refinancing and reassessment.
+
+    The rate of return is left to ``proforma_summary``: some of these requests have none, and
+    where Newton's method runs away the last bit of a power decides where to.
+    """
+    from ..functions.common import round_money, round_ratio
+    from ..operators.partitioning import spread
+    from ..operators.proforma import proforma
+    from ..operators.validate import validate_institutional
+    accepted = validate_institutional(_varied(_intake(spark, sf_dir))).filter("status = 'accepted'")
+    s = proforma(spread(accepted), _assumption_columns()).select("deal_id", "summary.*")
+    return s.select("deal_id", *[round_money(F.col(c)).alias(c) for c in _PF_MONEY],
+                    *[round_ratio(F.col(c)).alias(c) for c in _PF_RATIO if c != "irr"])
+
+
 # ---------------------------------------------------------------------------
 # T1-T4 splits and folds, A1-A4 aggregates (naive predictor: noi_t12)
 # ---------------------------------------------------------------------------
@@ -913,7 +1136,7 @@ def _importance_sql() -> str:
     features = (*CATEGORICAL_FEATURES, *NUMERIC_FEATURES)
     draws = ", ".join(f"('{f}', {r}, {round_keys(IMPORTANCE_SEED, f, r)}::BIGINT[][])" for f in features for r in range(IMPORTANCE_REPEATS))
     return _ridge_sql(f"""
-SELECT feature, {q.money('avg(d)')} AS importance_mean, {q.money('stddev_pop(d)')} AS importance_std, any_value(n) AS n_test FROM (
+SELECT feature, {q.whole('avg(d)')} AS importance_mean, {q.whole('stddev_pop(d)')} AS importance_std, any_value(n) AS n_test FROM (
   SELECT e.feature, e.repeat, avg(abs(e.y - e.pred + o.part - g.part)) - any_value(b.mae) AS d, any_value(b.n) AS n
   FROM moved e JOIN rg_part o ON o.rid = e.rid AND o.col = e.feature
   JOIN numbered s ON s.pos = e.source JOIN rg_part g ON g.rid = s.rid AND g.col = e.feature, base b
@@ -930,25 +1153,130 @@ GROUP BY feature
 @register("feature_importance", _importance_sql())
 def q_feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permutation importance (10 repeats, seed 42, MAE) of the ridge model."""
-    from ..functions.common import round_money
+    from ..functions.common import round_to
     from ..operators.models import fit_candidate, permutation_importance
     train, test = _train_test(spark, sf_dir)
     m = fit_candidate("ridge", train, CATEGORICAL_FEATURES, NUMERIC_FEATURES)
     imp = permutation_importance(m, test, [*CATEGORICAL_FEATURES, *NUMERIC_FEATURES], IMPORTANCE_REPEATS, IMPORTANCE_SEED)
     return imp.orderBy(F.col("importance_mean").desc(), F.col("feature")).select(
-        "feature", round_money(F.col("importance_mean")).alias("importance_mean"), round_money(F.col("importance_std")).alias("importance_std"), "n_test")
+        "feature", round_to(F.col("importance_mean"), 0).alias("importance_mean"), round_to(F.col("importance_std"), 0).alias("importance_std"), "n_test")
 
 
 @register("ridge_coefficients", _ridge_sql(f"""
-SELECT name AS feature, {q.money('w')} AS coefficient FROM rg_w ORDER BY {q.money('abs(w)')} DESC, name LIMIT 50
+SELECT name AS feature, {q.rnd('w', 1)} AS coefficient FROM rg_w ORDER BY {q.rnd('abs(w)', 1)} DESC, name LIMIT 50
 """))
 def q_ridge_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top-50 ridge coefficients by absolute value."""
-    from ..functions.common import round_money
+    from ..functions.common import round_to
     from ..operators.models import fit_candidate, ridge_coefficients
     train, _test = _train_test(spark, sf_dir)
     top = ridge_coefficients(fit_candidate("ridge", train, CATEGORICAL_FEATURES, NUMERIC_FEATURES), spark)
-    return top.select("feature", round_money(F.col("coefficient")).alias("coefficient"))
+    return top.select("feature", round_to(F.col("coefficient"), 1).alias("coefficient"))
+
+
+# ---------------------------------------------------------------------------
+# E1, E3, E6, F10, W7 with the ridge model behind the predictions.  Amounts are in
+# whole units: sums of doubles in another order differ by some 1e-7 of a unit.
+# ---------------------------------------------------------------------------
+
+def _model(spark: SparkSession, sf_dir: str):
+    from ..operators.models import fit_candidate
+    train, _test = _train_test(spark, sf_dir)
+    return fit_candidate("ridge", train, CATEGORICAL_FEATURES, NUMERIC_FEATURES)
+
+
+_SCORE_ALL = f"SELECT 0 AS grp, {_K_SQL} AS rid, {_MODEL_COLUMNS}, noi_next12 AS y FROM deals"
+_ROI_OUT = ("loan_amount", "equity_required", "annual_debt_service", "annual_cash_flow", "estimated_exit_value",
+            "estimated_exit_proceeds_after_debt_and_costs")
+
+
+def _roi_sql(pred: str, price: str, cap: str) -> dict[str, str]:
+    ads, ev = q.ads(f"{price} * ltv", "interest_rate", "amort_years"), q.inf_div(pred, cap)
+    return {"loan_amount": f"{price} * ltv", "equity_required": f"{price} - {price} * ltv", "annual_debt_service": ads,
+            "annual_cash_flow": f"{pred} - {ads}", "estimated_exit_value": ev,
+            "estimated_exit_proceeds_after_debt_and_costs": f"{ev} - {ev} * 2e-2 - {price} * ltv",
+            "cash_on_cash": q.inf_div(f"{pred} - {ads}", f"{price} - {price} * ltv")}
+
+
+_SCORE_ROI = _roi_sql("pred", "purchase_price", "65e-3")
+
+
+@register("score_deals", _ridge_sql(f"""
+SELECT d.deal_id, CASE WHEN p.rid IS NULL THEN 'quarantined' ELSE 'accepted' END AS status,
+       CASE WHEN p.rid IS NULL THEN 'gross_leasable_sqft is required; purchase_price is required; noi_t12 is required; opex_t12 is required; gross_rent_t12 is required' ELSE '' END AS errors,
+       {q.whole('pred')} AS predicted_noi_next12,
+       {', '.join(f'CASE WHEN p.rid IS NOT NULL THEN {q.whole(_SCORE_ROI[c])} END AS {c}' for c in _ROI_OUT)},
+       CASE WHEN p.rid IS NOT NULL THEN {q.ratio(_SCORE_ROI['cash_on_cash'])} END AS cash_on_cash
+FROM (SELECT *, {_K_SQL} AS k FROM intake) d LEFT JOIN rg_pred p ON p.rid = d.k
+""", score=_SCORE_ALL))
+def q_score_deals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order validated, scored by the ridge model and given its ROI."""
+    from ..functions.common import round_ratio, round_to
+    from ..streaming.scoring import score_requests
+    out = score_requests(_intake(spark, sf_dir), _model(spark, sf_dir))
+    return out.select("deal_id", "status", "errors", *[round_to(F.col(c), 0).alias(c) for c in ("predicted_noi_next12", *_ROI_OUT)],
+                      round_ratio(F.col("cash_on_cash")).alias("cash_on_cash"))
+
+
+_SCENARIO_SCORES = f"""SELECT 0 AS grp, {_K_SQL} * 10 + i AS rid, {', '.join(CATEGORICAL_FEATURES)},
+  {', '.join('purchase_price * (CASE WHEN i = 0 THEN 96e-2 ELSE 1e0 END) AS purchase_price' if c == 'purchase_price' else c for c in NUMERIC_FEATURES)},
+  noi_next12 AS y FROM deals, range(0, 2) t(i)"""
+
+
+def _simple_model_sql() -> str:
+    roi = _roi_sql("pred", "pp", "ec")
+    return _ridge_sql(f"""
+SELECT deal_id, CAST(row_number() OVER (PARTITION BY deal_id ORDER BY isnan(sort_raw), sort_raw DESC NULLS LAST, ix) AS INTEGER) AS rank, ix AS scenario_ix,
+       grid_size, grid_size > cap AS truncated, {q.whole('pp')} AS purchase_price, {q.whole('pred')} AS predicted_noi_next12,
+       {', '.join(f'{q.whole(roi[c])} AS {c}' for c in _ROI_OUT)}, {q.ratio('ec')} AS exit_cap_rate, {q.ratio(roi['cash_on_cash'])} AS cash_on_cash
+FROM (
+  SELECT *, CASE sort_by WHEN 'annual_cash_flow' THEN {roi['annual_cash_flow']} WHEN 'estimated_exit_proceeds'
+              THEN {roi['estimated_exit_proceeds_after_debt_and_costs']} ELSE {roi['cash_on_cash']} END AS sort_raw
+  FROM (
+    SELECT d.*, p.pred, d.purchase_price * (CASE WHEN i1 = 0 THEN 96e-2 ELSE 1e0 END) AS pp,
+           CASE WHEN k % 3 = 0 THEN 5e-2 + (k % 30) * 1e-3 ELSE [625e-4, 675e-4][i4 + 1] END AS ec, i1 * n4 + i4 AS ix, CAST(2 * n4 AS BIGINT) AS grid_size
+    FROM (SELECT *, {_K_SQL} AS k, 1 + {_K_SQL} % 5 AS cap, CASE WHEN {_K_SQL} % 3 = 0 THEN 1 ELSE 2 END AS n4,
+                 CASE {_K_SQL} % 4 WHEN 0 THEN 'annual_cash_flow' WHEN 1 THEN 'estimated_exit_proceeds' WHEN 2 THEN 'else' ELSE 'cash_on_cash' END AS sort_by
+          FROM deals) d, range(0, 2) a(i1), range(0, n4) b(i4)
+    JOIN rg_pred p ON p.rid = k * 10 + i1)
+  WHERE ix < cap)
+""", score=_SCENARIO_SCORES)
+
+
+@register("whatif_simple_model", _simple_model_sql())
+def q_whatif_simple_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The simple grid with the model's anchors; cap, ranking key and exit cap are each request's own."""
+    from ..functions.common import round_ratio, round_to
+    from ..operators.scenario import whatif_simple
+    k = _order_key()
+    d = _grid_deals(spark, sf_dir, institutional=False).withColumns({
+        "own_cap": 0.05 + (k % 30) * 0.001, "cap": 1 + k % 5,
+        "by": F.when(k % 4 == 0, "annual_cash_flow").when(k % 4 == 1, "estimated_exit_proceeds").when(k % 4 == 2, "else").otherwise("cash_on_cash"),
+        "exit_cap_rates": F.when(k % 3 != 0, F.col("exit_cap_rates"))})
+    out = whatif_simple(d, _model(spark, sf_dir), max_scenarios=F.col("cap"), sort_by=F.col("by"), base_exit_cap_rate=F.col("own_cap"))
+    return out.select("deal_id", "rank", "scenario_ix", "grid_size", "truncated", *[round_to(F.col(c), 0).alias(c) for c in (
+        "purchase_price", "predicted_noi_next12", *_ROI_OUT)], *[round_ratio(F.col(c)).alias(c) for c in ("exit_cap_rate", "cash_on_cash")])
+
+
+def _inst_model_sql() -> str:
+    src, pf, body = _wi_parts("p.pred", join=f"JOIN rg_pred p ON p.rid = CAST(substr(s.deal_id, 2) AS BIGINT) * 10 + sm.ix // 16")
+    keep = ("purchase_price", "predicted_noi_next12", "net_sale_proceeds", "irr", "min_dscr", "exit_cap_rate", "rent_growth")
+    amounts = keep[:3]
+    return _ridge_sql(f"SELECT deal_id, rank, scenario_ix, grid_size, {', '.join(q.whole(c) + ' AS ' + c for c in amounts)}, {', '.join(keep[3:])} FROM ({body})", score=_SCENARIO_SCORES, more=(src, pf))
+
+
+@register("whatif_inst_model", _inst_model_sql())
+def q_whatif_inst_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The institutional grid with the model's anchors, each (price, ltv, rate) scored once."""
+    from ..functions.common import round_money, round_ratio, round_to
+    from ..operators.payloads import INST_PAYLOAD
+    from ..operators.scenario import whatif_inst
+    model = _model(spark, sf_dir)
+    # a plain transformer, as any pyspark.ml model is: its anchors are packed into the request's row
+    res = whatif_inst(_grid_deals(spark, sf_dir, institutional=True), lambda df: model.transform(df), INST_PAYLOAD, max_scenarios=40, top_n=5)
+    return res.scenarios.select("deal_id", "rank", "scenario_ix", "grid_size", *[round_to(round_money(F.col(c)), 0).alias(c) for c in (
+        "purchase_price", "predicted_noi_next12", "net_sale_proceeds")], *[round_ratio(F.col(c)).alias(c) for c in (
+            "irr", "min_dscr", "exit_cap_rate", "rent_growth")])
 
 
 # ---------------------------------------------------------------------------
@@ -998,3 +1326,64 @@ FROM v JOIN d ON v.deal_id = d.deal_id
 
 
 ORACLES["stream_scoring"] = _stream_sql()
+
+
+def _request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a JSON line: some with wrong types, a list for a text, a missing field, or cut off in the middle (k = order key)."""
+    k = _order_key()
+    rows = _intake(spark, sf_dir).select("deal_id", "property_type", "city", "state", "zip", "year_built", "gross_leasable_sqft", "purchase_price",
+                                         "noi_t12", "occupancy_t12", "opex_t12", "gross_rent_t12", "ltv", "interest_rate", "amort_years")
+    line = F.to_json(F.struct(*rows.columns))
+    text = F.when(k % 19 == 0, F.expr("substring(line, 1, length(line) div 2)")).when(k % 31 == 0, F.concat(F.lit("["), F.col("line"), F.lit("]"))) \
+        .when(k % 13 == 0, F.regexp_replace("line", '"ltv":[^,}]*', '"ltv":"much"')) \
+        .when(k % 17 == 0, F.regexp_replace("line", '"amort_years":[^,}]*', '"amort_years":25.5')) \
+        .when(k % 29 == 0, F.regexp_replace("line", '"city":[^,}]*,', "")).otherwise(F.col("line"))
+    return rows.withColumn("line", line).select(text.alias("value"))
+
+
+@register("request_rejects", with_deals("""
+SELECT CASE WHEN broken THEN NULL ELSE deal_id END AS deal_id,
+       CASE WHEN broken THEN 'not a JSON object' ELSE array_to_string(list_filter([
+         CASE WHEN wrong = 'ltv' THEN 'ltv: not a number' END, CASE WHEN wrong = 'amort' THEN 'amort_years: not a whole number' END,
+         CASE WHEN wrong = 'city' THEN 'city is required' END,
+         CASE WHEN rent IS NULL THEN 'gross_leasable_sqft is required; purchase_price is required; noi_t12 is required; opex_t12 is required; gross_rent_t12 is required' END
+       ], lambda x: x IS NOT NULL), '; ') END AS errors
+FROM (SELECT deal_id, gross_rent_t12 AS rent, k % 19 = 0 OR k % 31 = 0 AS broken,
+             CASE WHEN k % 13 = 0 THEN 'ltv' WHEN k % 17 = 0 THEN 'amort' WHEN k % 29 = 0 THEN 'city' END AS wrong
+      FROM (SELECT *, CAST(substr(deal_id, 2) AS BIGINT) AS k FROM intake))
+WHERE broken OR wrong IS NOT NULL OR rent IS NULL
+"""))
+def q_request_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON lines through the stream; what is rejected comes back with its reasons, broken lines included."""
+    from ..operators.scenario import column_predictor
+    from ..streaming.scoring import scratch_root, start_scoring_stream
+    root = scratch_root(spark, "request-rejects")
+    _request_lines(spark, sf_dir).write.text(f"{root}/in")
+    start_scoring_stream(spark, f"{root}/in", f"{root}/out", f"{root}/checkpoint", column_predictor(F.col("noi_t12"))).awaitTermination()
+    return spark.read.parquet(f"{root}/out").filter("status = 'quarantined'").select("deal_id", "errors")
+
+
+_FILE_EXT_SQL = "CASE lang WHEN 'en' THEN '.txt' WHEN 'fr' THEN '.md' WHEN 'de' THEN '.LOG' ELSE '.pdf' END"
+
+
+@register("document_status", f"""
+WITH files AS (SELECT '/deals/docs/doc_' || doc_id || {_FILE_EXT_SQL} AS path, text FROM documents),
+refs AS (SELECT doc_id, unnest(['../docs/./doc_' || doc_id || {_FILE_EXT_SQL}, 'file:/deals/docs/doc_' || (doc_id + 1) || '.txt', 'notes/' || doc_id]) AS path,
+                unnest(['/deals/docs/doc_' || doc_id || {_FILE_EXT_SQL}, '/deals/docs/doc_' || (doc_id + 1) || '.txt', '/deals/inbox/notes/' || doc_id]) AS full_path
+         FROM documents)
+SELECT r.doc_id, r.path, CASE WHEN f.path IS NULL THEN 'missing' WHEN f.path LIKE '%.pdf' THEN 'unsupported' ELSE 'ok' END AS status,
+       CASE WHEN f.path IS NOT NULL AND f.path NOT LIKE '%.pdf' THEN CAST(length({_norm_sql('f.text')}) AS INTEGER) ELSE -1 END AS n_chars
+FROM refs r LEFT JOIN files f ON r.full_path = f.path
+""")
+def q_document_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References relative to a base folder, with dots and schemes, against the files: ok, missing or unsupported."""
+    from ..operators.documents import document_status
+    docs = _docs(spark, sf_dir)
+    d = F.col("doc_id")
+    ext = (F.when(F.col("lang") == "en", F.lit(".txt")).when(F.col("lang") == "fr", F.lit(".md")).when(F.col("lang") == "de", F.lit(".LOG"))
+           .otherwise(F.lit(".pdf")))
+    files = docs.select(F.concat(F.lit("file:///deals/docs/doc_"), d, ext).alias("path"), "text")
+    refs = docs.select("doc_id", F.explode(F.array(F.concat(F.lit("../docs/./doc_"), d, ext), F.concat(F.lit("file:/deals/docs/doc_"), d + 1, F.lit(".txt")),
+                                                   F.concat(F.lit("notes/"), d))).alias("path"))
+    st = document_status(refs, files, base_path="/deals/inbox")
+    return st.select("doc_id", "path", "status", F.coalesce(F.length("doc_text"), F.lit(-1)).alias("n_chars"))

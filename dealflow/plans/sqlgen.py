@@ -22,7 +22,13 @@ def rnd(expr: str, decimals: int, max_sig: int = 9) -> str:
 
 
 def money(expr: str) -> str:
-    return rnd(expr, 2)
+    """Same rounding as ``functions.common.round_money``."""
+    x = f"({expr})"
+    return f"(CASE WHEN abs({x}) < {2.0 ** 53 / 100!r} THEN floor({x} * 100e0 + 0.5e0) / 100e0 ELSE {x} END)"
+
+
+def whole(expr: str) -> str:
+    return rnd(expr, 0)
 
 
 def ratio(expr: str) -> str:

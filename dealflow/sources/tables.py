@@ -43,7 +43,12 @@ def _mod(c: Column, m: int) -> Column:
 
 
 def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 18-column deal snapshot table (one row per order with lineitems)."""
+    """The 18-column deal snapshot table: the orders of ``intake`` with lineitems, so with numbers."""
+    return intake(spark, sf_dir, priced=True)
+
+
+def intake(spark: SparkSession, sf_dir: str, priced: bool = False) -> DataFrame:
+    """Deal requests as they come in: one row per order; one without lineitems has no rent, size, price or NOI."""
     orders = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
     lineitem = read_table(spark, sf_dir, "lineitem").select(
@@ -59,7 +64,7 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.col("l_quantity").cast("bigint")).alias("qty"),
     )
     geo = join_small(nation, region, nation.n_regionkey == region.r_regionkey, max_rows=10_000)
-    base = (orders.join(totals, orders.o_orderkey == totals.l_orderkey)
+    base = (orders.join(totals, orders.o_orderkey == totals.l_orderkey, "inner" if priced else "left")
             .join(customer, orders.o_custkey == customer.c_custkey))
     base = join_small(base, geo, base.c_nationkey == geo.n_nationkey, max_rows=10_000)
 
@@ -98,7 +103,7 @@ def deals(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same view for DuckDB (used by the oracles).  Kept textually close to the
 # DataFrame plan above so that both engines do the same float operations.
 DEALS_SQL = """
-deals AS (
+intake AS (
   SELECT
     CONCAT('D', LPAD(CAST(o.o_orderkey AS VARCHAR), 9, '0')) AS deal_id,
     CAST(o.o_orderdate AS DATE) AS asof_date,
@@ -120,14 +125,15 @@ deals AS (
     CAST(20 + 5 * (o.o_orderkey % 3) AS INTEGER) AS amort_years,
     (t.rent - t.rent * (18e-2 + (o.o_orderkey % 38) * 1e-2)) * (97e-2 + (o.o_orderkey % 101) * 1e-3) AS noi_next12
   FROM orders o
-  JOIN (SELECT l_orderkey,
+  LEFT JOIN (SELECT l_orderkey,
                CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) * 3e0 AS rent,
                SUM(CAST(l_quantity AS BIGINT)) AS qty
         FROM lineitem GROUP BY l_orderkey) t ON o.o_orderkey = t.l_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey
   JOIN nation n ON c.c_nationkey = n.n_nationkey
   JOIN region r ON n.n_regionkey = r.r_regionkey
-)
+),
+deals AS (SELECT * FROM intake WHERE gross_rent_t12 IS NOT NULL)
 """
 
 

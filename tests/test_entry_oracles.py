@@ -9,7 +9,9 @@ from dealflow.sources.tables import TABLES
 
 FAST = ["roi_snapshot", "underwrite_summary", "irr_portfolio", "proforma_summary", "whatif_simple",
         "whatif_inst_topn", "validate_quarantine", "conditional_roi_map", "time_split", "fold_report",
-        "normalize_text", "path_list", "combine_text", "tfidf_top_terms", "tfidf_matrix", "row_fingerprint", "whatif_inst_rejects",
+        "normalize_text", "path_list", "combine_text", "tfidf_top_terms", "tfidf_matrix", "row_fingerprint", "whatif_inst_outcomes", "validate_requests", "proforma_varied", "request_rejects",
+        "document_status", "ridge_coefficients", "ridge_backtest", "model_holdout_metrics", "feature_importance", "score_deals",
+        "whatif_simple_model", "whatif_inst_model", "split_profile",
         "regression_metrics", "impute_scale_stats"]
 
 

@@ -63,6 +63,10 @@ def test_train_validate_explain(spark, tmp_path):
     rep = read_importance_report(spark, str(tmp_path / "run" / "feature_importance_json")).first()
     assert len(rep.rows) == len(CATEGORICAL_FEATURES) + len(NUMERIC_FEATURES)
     assert rep.dataset_hash == res["dataset_hash"]
+    folds = spark.read.json(str(tmp_path / "run" / "ts_cv_report")).orderBy("split").collect()
+    assert [r.split for r in folds] == [1, 2, 3] and all(r.train_end <= r.val_start and r.rmse > 0 for r in folds)
+    meta = spark.read.json(str(tmp_path / "run" / "dataset_metadata")).first()
+    assert meta["columns"][0] == "deal_id" and len(meta["columns"]) == 18 and meta.dataset_hash
     m = load_model(str(tmp_path / "run" / "model"))
     scored = m(deals(spark, SF_SMALL).limit(5))
     assert scored.filter(F.col("predicted_noi_next12").isNull()).count() == 0
