@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices
 from .pieces import packed, worker_encoder
@@ -121,6 +122,27 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """Add ``ids`` and ``round_trip``, whether they decode to the row's text, in one pass over its Arrow batches.
+
+    New columns replace columns of the same name.
+    """
+    kept = df.drop("ids", "round_trip")
+    schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text):
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            ids = encode_texts(texts, path, pattern)
+            same = [decode_ids(x.tolist(), path) == t.encode("utf-8", "surrogatepass") for t, x in zip(texts, ids)]
+            bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            flat = pa.array(np.concatenate(ids).view(np.int32) if ids else np.zeros(0, np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(bounds), flat), pa.array(same, pa.bool_())],
+                                             [*batch.schema.names, "ids", "round_trip"])
+
+    return kept.mapInArrow(run, schema)
+
+
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode, decode and digest every document in one pass over its Arrow batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

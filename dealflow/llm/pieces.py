@@ -3,8 +3,8 @@
 The pre-tokenizers used here never join characters across certain blanks, so a
 text's ids are the ids of its blank-separated pieces, one after the other.  A
 worker therefore hands the library only pieces it has not met lately and joins
-the stored ids.  The store holds at most ``CAPACITY`` pieces, which
-bounds its memory; results never depend on what it holds.
+the stored ids.  The store holds about ``CAPACITY`` bytes at most;
+results never depend on what it holds.
 """
 
 from __future__ import annotations
@@ -17,7 +17,9 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-CAPACITY = 600_000
+CAPACITY = 112 << 20
+#: Bytes of a stored piece besides its characters and ids: two objects and a place in the table.
+OVERHEAD = 180
 _DOUBLE_BLANK = re.compile(r"\s\s")
 _SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _CLOSING = re.compile(r"(?<=[a-z])[.,](?=\s|\Z)")
@@ -53,14 +55,20 @@ class Store(dict):
     def __init__(self):
         super().__init__()
         self.old: dict = {}
+        self.held = 0
 
     def missing(self, pieces: set[str]) -> list[str]:
         """Make room, bring back pieces of the old generation, and return those that are in neither."""
-        if len(self) + len(pieces) > CAPACITY // 2:
+        wanted = pieces.difference(self)
+        size = sum(map(len, wanted)) * 4 + OVERHEAD * len(wanted)
+        if self.held + size > CAPACITY // 2:
             self.old = dict(self)
             self.clear()
+            wanted, self.held = pieces, 0
+            size = sum(map(len, wanted)) * 4 + OVERHEAD * len(wanted)
+        self.held += size
         unknown, old = [], self.old
-        for p in pieces.difference(self):
+        for p in wanted:
             if p in old:
                 self[p] = old[p]
             else:

@@ -45,10 +45,13 @@ def test_edit_distance_and_segments():
     assert segments(10, 2) == [(0, 3), (3, 3), (6, 4)]
 
 
-def expected(rows, d=2, least=20):
-    """Texts without dropped lines, by comparing all pairs of lines; rows are in document order."""
+def expected(rows, d=2, least=20, short_copies=False):
+    """Texts without dropped lines, by comparing all pairs of lines; rows are in document order.
+
+    Lines under ``least`` characters stay, or with ``short_copies`` are compared for equality.
+    """
     lines = [(line.strip(), doc, place) for doc, (_, text) in enumerate(rows) for place, line in enumerate((text or "").split("\n"))]
-    lines = [x for x in lines if len(x[0]) >= least]
+    lines = [x for x in lines if len(x[0]) >= (1 if short_copies else least)]
     root = list(range(len(lines)))
 
     def find(i):
@@ -58,7 +61,8 @@ def expected(rows, d=2, least=20):
 
     for i in range(len(lines)):
         for j in range(i):
-            if abs(len(lines[i][0]) - len(lines[j][0])) <= d and distance(lines[i][0], lines[j][0]) <= d:
+            x, y = lines[i][0], lines[j][0]
+            if x == y or (min(len(x), len(y)) >= least and abs(len(x) - len(y)) <= d and distance(x, y) <= d):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     gone = {(lines[i][1], lines[i][2]) for i in range(len(lines)) if find(i) != i}

@@ -10,7 +10,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from llm_fixtures import SF_SMALL, no_docs, odd_docs, shipped  # noqa: F401
-from dealflow.llm.byte_bpe import char_offsets, decode, decode_ids, encode, encode_texts, round_trip_digests
+from dealflow.llm.byte_bpe import char_offsets, decode, decode_ids, encode, encode_texts, round_trip, round_trip_digests
 from dealflow.llm.token_counts import count_tokens, read_cache, tokenizer_digest
 from dealflow.llm.token_orc import encode_to_orc, read_token_orc, write_token_orc
 
@@ -118,3 +118,29 @@ def test_queries_read_whole_tables(spark):
     n = spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
     for name in ("op3_token_counts", "op7_token_orc", "op9_byte_bpe"):
         assert QUERIES[name](spark, SF_SMALL).count() == n
+
+
+def test_round_trip_column(spark, odd_docs, no_docs, reference):
+    rows = [(i, t) for i, t in enumerate(_texts(100))] + [(None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = round_trip(df, RANKS, P.PATTERN)
+    assert out.columns == ["doc_id", "text", "ids", "round_trip"]
+    for r in out.collect():
+        assert r.round_trip and r.ids == reference.encode_ordinary(r.text or "")
+    assert round_trip(odd_docs, RANKS, P.PATTERN).filter("round_trip").count() == odd_docs.count()
+    assert round_trip(no_docs, RANKS, P.PATTERN).count() == 0
+
+
+def test_stored_pieces_are_bounded_by_bytes(monkeypatch):
+    from dealflow.llm import pieces
+
+    monkeypatch.setattr(pieces, "CAPACITY", 40_000)
+    encoder = pieces.PieceEncoder(Tokenizer.from_file(BYTE), pieces.packed)
+    plain = Tokenizer.from_file(BYTE)
+    rng = random.Random(2)
+    for _ in range(60):
+        text = " ".join("".join(rng.choice("abcdef") for _ in range(rng.choice((2, 3, 90)))) for _ in range(40))
+        assert np.frombuffer(b"".join(encoder.encode([text])[0]), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        for store in (encoder.first, encoder.rest):
+            # two generations, the younger one filled by a single text at most beyond its half
+            assert sum(len(p) for p in (*store, *store.old)) * 4 <= 40_000 + 40 * (pieces.OVERHEAD + 4 * 91)
