@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealflow.llm.byte_bpe import decode, encode
+from dealflow.llm.byte_bpe import round_trip
 from dealflow.llm.common import read_table, ship_package, written
 from dealflow.llm.language import fit_languages, held_out, predict_languages
 from dealflow.llm.line_dedup import dedup_lines
@@ -38,7 +38,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; one that had words and has none left is a copy and goes."""
     ship_package(spark)
-    lines = dedup_lines(docs)
+    lines = dedup_lines(docs, short_copies=True)
     emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"\S")
     return lines.filter(~emptied).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint"))
                                              .otherwise(F.col("n_chars"))).select(*docs.columns)
@@ -61,9 +61,8 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     texts = docs.select("doc_id", "source", "text")
-    coded = decode(encode(texts, path, public_tokenizers.PATTERN), path)
-    return coded.select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids",
-                        (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
+    coded = round_trip(texts, path, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "source", F.size("ids").alias("n_tokens"), "ids", "round_trip")
 
 
 STAGES = [("language", language_stage), ("line_dedup", line_stage), ("near_dedup", near_stage), ("mixing", mix_stage),
