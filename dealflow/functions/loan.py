@@ -94,8 +94,3 @@ def roi_columns(purchase_price, noi_next12, ltv, interest_rate, amort_years,
         "estimated_exit_value": exit_value,
         "estimated_exit_proceeds_after_debt_and_costs": proceeds,
     }
-
-
-def roi_struct(*args, **kwargs) -> Column:
-    cols = roi_columns(*args, **kwargs)
-    return F.struct(*[cols[k].alias(k) for k in ROI_FIELDS])

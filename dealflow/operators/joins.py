@@ -27,10 +27,6 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
     return big.join(small, on, how)
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    return F.broadcast(df) if fits(df, max_rows) else df
-
-
 def col_or_lit(x) -> Column:
     if isinstance(x, Column):
         return x

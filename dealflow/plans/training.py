@@ -14,7 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.metrics import dataset_profile, table_fingerprint
+from ..operators.features import feature_roles
+from ..operators.metrics import dataset_profile, file_fingerprints, table_fingerprint
 from ..operators.ridge import RidgeModel
 from ..operators.models import holdout_compare, permutation_importance, ridge_coefficients, walk_forward_backtest
 from ..operators.split import fold_report, time_split, walk_forward
@@ -22,18 +23,24 @@ from ..sources.reports import (importance_report, model_snapshot, read_snapshot_
                                write_csv_report, write_json_report)
 
 
-def train_validate_explain(deals: DataFrame, out_dir: str, categorical: Sequence[str], numeric: Sequence[str],
+def train_validate_explain(deals: DataFrame, out_dir: str, categorical: Sequence[str] | None = None, numeric: Sequence[str] | None = None,
                            gbt_iter: int = 100, cv_model: str = "gbt", n_splits: int = 8, text_col: str | None = "unstructured_text",
                            source: str | None = None) -> dict:
-    """``text_col`` joins the features if it is there and not blank; ``source`` is the path the deals came from."""
+    """Without column lists, roles come from the schema (P7).  ``text_col`` joins the features if it
+    is there and not blank; ``source`` is the path the deals came from, whose files' digests are reported."""
     spark = deals.sparkSession
     out = out_dir.rstrip("/")
+    roles = feature_roles(deals)
+    categorical, numeric = categorical or roles[0], numeric or roles[1]
 
     profile = dataset_profile(deals)
     fp = table_fingerprint(deals, [F.col(c).cast("string") for c in deals.columns]).first()["fingerprint"]
     write_json_report(profile.withColumns({"dataset_hash": F.lit(fp), "path": F.lit(source), "columns": F.split("columns", ",")}),
                       f"{out}/dataset_metadata")
 
+    if source is not None:
+        write_csv_report(file_fingerprints(spark, source), f"{out}/dataset_files")
+
     split = time_split(deals)
     train, test = split.filter(F.col("split") == "train"), split.filter(F.col("split") == "test")
 

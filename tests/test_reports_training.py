@@ -1,5 +1,6 @@
 """S1-S8 scans/sinks and the E7 train -> validate -> explain job."""
 
+import hashlib
 import json
 
 import pytest
@@ -57,8 +58,11 @@ def test_columns_bind_by_name(spark, tmp_path):
 
 
 def test_train_validate_explain(spark, tmp_path):
-    res = train_validate_explain(deals(spark, SF_SMALL), str(tmp_path / "run"), CATEGORICAL_FEATURES,
-                                 NUMERIC_FEATURES, gbt_iter=3, cv_model="ridge", n_splits=3)
+    # roles come from the schema
+    res = train_validate_explain(deals(spark, SF_SMALL), str(tmp_path / "run"), gbt_iter=3, cv_model="ridge", n_splits=3,
+                                 source=f"{SF_SMALL}/orders.parquet")
+    digest = hashlib.sha256(open(f"{SF_SMALL}/orders.parquet", "rb").read()).hexdigest()
+    assert spark.read.csv(str(tmp_path / "run" / "dataset_files"), header=True).first().dataset_hash == digest
     assert res["best_model"] in ("ridge", "gbt")
     rep = read_importance_report(spark, str(tmp_path / "run" / "feature_importance_json")).first()
     assert len(rep.rows) == len(CATEGORICAL_FEATURES) + len(NUMERIC_FEATURES)
