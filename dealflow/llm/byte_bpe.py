@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import slices
-from .pieces import packed, worker_encoder
+from .pieces import PieceEncoder, packed, worker_encoder
 
 
 def byte_alphabet() -> list[str]:
@@ -61,7 +61,7 @@ def _token_bytes(path: str) -> dict[int, bytes]:
 
 
 def _encoder(path: str, pattern: str):
-    return worker_encoder(("ranks", path, pattern), lambda: _tokenizer(path, pattern), packed)
+    return worker_encoder(("ranks", path, pattern), lambda: PieceEncoder(_tokenizer(path, pattern), packed))
 
 
 def encode_texts(texts: list[str], path: str, pattern: str) -> list[np.ndarray]:

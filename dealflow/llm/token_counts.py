@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_folder, slices
-from .pieces import worker_encoder
+from .pieces import PieceEncoder, worker_encoder
 
 CACHE_SCHEMA = "content_digest binary, n_tokens bigint, tokenizer_digest string"
 
@@ -66,7 +66,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     texts = texts.withColumn("content_digest", F.unhex(F.sha2(F.col("text"), 256)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(("counts", path), lambda: _load(path), len)
+        encoder = worker_encoder(("counts", path), lambda: PieceEncoder(_load(path), len))
         for batch in slices(batches, "text"):
             counts = [sum(parts) for parts in encoder.encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array(counts, pa.int64())],

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_folder, slices
-from .pieces import packed, worker_encoder
+from .pieces import WordEncoder, worker_encoder
 
 FILE_SCHEMA = "part int, doc_id bigint, start_in_part bigint, n_tokens bigint, ids array<int>"
 
@@ -45,15 +45,17 @@ def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int
     The tokenizer drops blanks, lower-cases, and ends words with tokens that have the suffix ``word_end``.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(("ids", tokenizer_path), lambda: _load(tokenizer_path), packed, word_end)
-        part, begin, end = TaskContext.get().partitionId(), 0, packed([end_id])
+        encoder = worker_encoder(("ids", tokenizer_path), lambda: WordEncoder(_load(tokenizer_path), word_end))
+        part, begin = TaskContext.get().partitionId(), 0
         for batch in slices(batches, "text"):
-            coded = [b"".join(parts) + end for parts in encoder.encode(batch.column("text").to_pylist())]
-            counts = np.array([len(c) // 4 for c in coded], np.int64)
-            bounds = np.concatenate([[0], np.cumsum(counts)])
-            ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4")))
+            flat, ends = encoder.encode(batch.column("text"))
+            # the end id goes behind each document's ids
+            flat = np.insert(flat, ends[1:], end_id).astype(np.int32)
+            bounds = ends + np.arange(len(ends))
+            counts = np.diff(bounds)
+            ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(coded), part, np.int32)), batch.column("doc_id"), pa.array(begin + bounds[:-1]),
+                [pa.array(np.full(len(counts), part, np.int32)), batch.column("doc_id"), pa.array(begin + bounds[:-1]),
                  pa.array(counts), ids], ["part", "doc_id", "start_in_part", "n_tokens", "ids"])
             begin += int(bounds[-1])
 
