@@ -166,16 +166,17 @@ def _entries(docs: DataFrame, distance: int, min_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, list] = {}
         for batch in slices(batches, "text"):
-            lines = dict.fromkeys(line for text in batch.column("text").to_pylist() for _, line in _lines(text, min_chars))
-            buckets, nodes, hubs = [], [], []
-            for line in lines:
-                plan, node = _plan(len(line), distance, plans), _hash(line)
-                for seed, begin, end, hub in plan:
-                    buckets.append(_hash(line[begin:end], seed))
-                    hubs.append(hub)
-                nodes += [node] * len(plan)
-            yield pa.RecordBatch.from_arrays([_signed(buckets), _signed(nodes), pa.array(hubs, pa.bool_())],
-                                             ["bucket", "node", "hub"])
+            lines = list(dict.fromkeys(line for text in batch.column("text").to_pylist() for _, line in _lines(text, min_chars)))
+            for first in range(0, len(lines), 4096):  # entries take many times the room of their lines
+                buckets, nodes, hubs = [], [], []
+                for line in lines[first:first + 4096]:
+                    plan, node = _plan(len(line), distance, plans), _hash(line)
+                    for seed, begin, end, hub in plan:
+                        buckets.append(_hash(line[begin:end], seed))
+                        hubs.append(hub)
+                    nodes += [node] * len(plan)
+                yield pa.RecordBatch.from_arrays([_signed(buckets), _signed(nodes), pa.array(hubs, pa.bool_())],
+                                                 ["bucket", "node", "hub"])
 
     return _keyed(docs).select("text").mapInArrow(run, "bucket bigint, node bigint, hub boolean")
 
@@ -201,7 +202,7 @@ def _finer(distance: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, list] = {}
-        for batch in slices(batches, "rest", 1 << 18):
+        for batch in slices(batches, "rest", 1 << 14):  # a short rest has some forty entries
             out = []
             for bucket, node, parent, rest in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "parent", "rest"))):
                 lead = f"{parent}:" if parent else ""
