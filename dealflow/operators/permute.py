@@ -43,22 +43,29 @@ def _poly(c: Column, x: Column) -> Column:
 
 
 def permuted(position: Column, n: int, keys: Column) -> Column:
-    """Where ``position`` (from 0, below n) goes; ``keys`` is an array of arrays of longs from ``round_keys``."""
+    """Where ``position`` (from 0, below n) goes; ``keys`` is an array of arrays of longs from ``round_keys``.
+
+    The first pass through the network, which brings almost all positions below n, is plain
+    arithmetic that Spark compiles; only walks from surplus cells are a loop.
+    """
     rows, columns = rectangle(n)
     a, b = F.lit(rows).cast("bigint"), F.lit(columns).cast("bigint")
 
-    def once(x: Column) -> Column:
-        def turn(s: Column, c: Column) -> Column:
-            # the even rounds move the row, the odd ones the column
-            left, right, even = s["l"], s["r"], s["even"]
-            return F.struct(F.when(even, (left + _poly(c, right)) % a).otherwise(left).alias("l"),
-                            F.when(even, right).otherwise((right + _poly(c, left)) % b).alias("r"), (~even).alias("even"))
+    def turn(s: tuple[Column, Column], c: Column, even: bool) -> tuple[Column, Column]:
+        # the even rounds move the row, the odd ones the column
+        left, right = s
+        return ((left + _poly(c, right)) % a, right) if even else (left, (right + _poly(c, left)) % b)
 
-        start = F.struct(F.floor(x / b).cast("bigint").alias("l"), (x % b).alias("r"), F.lit(True).alias("even"))
-        return F.aggregate(keys, start, turn, lambda s: s["l"] * b + s["r"])
+    def once(x: Column) -> Column:
+        s = (F.floor(x / b).cast("bigint"), x % b)
+        for k in range(ROUNDS):
+            s = turn(s, F.get(keys, F.lit(k)), k % 2 == 0)
+        return s[0] * b + s[1]
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), once(position.cast("bigint")), lambda x, _: F.when(x < n, x).otherwise(once(x)),
+    first = once(position.cast("bigint"))
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), first, lambda x, _: F.when(x < n, x).otherwise(once(x)),
                        lambda x: F.when(x < n, x).otherwise(F.raise_error(F.lit("a position did not come back to the table")).cast("bigint")))
+    return F.when(first < n, first).otherwise(walk)
 
 
 def keys_literal(keys: Sequence[Sequence[int]]) -> Column:

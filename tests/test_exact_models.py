@@ -140,3 +140,34 @@ def test_text_stage_saves_loads_and_is_left_out_when_blank(spark, tmp_path):
     assert error[0] < error[1]
     blank = df.withColumn("unstructured_text", F.lit("  "))
     assert not has_text(blank, "unstructured_text") and isinstance(fit_candidate("ridge", blank, ["c"], ["x"], text_col="unstructured_text"), RidgeModel)
+
+
+def test_permutation_is_compiled_and_its_join_sorts_nothing(spark):
+    d = spark.range(1000).select(F.col("id").alias("p"))
+    plan = d.select(permuted(F.col("p"), 1000, keys_literal(round_keys(1, 2, 3))).alias("q"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("CASE WHEN") < plan.index("aggregate(")  # the loop is for walks only
+
+
+def test_tree_rows_are_dealt_out_by_number(spark, monkeypatch):
+    from dealflow.operators import models
+
+    rows = spark.range(0, 100, 1, 2)
+    assert models._tree_rows(rows, 100) is rows
+    monkeypatch.setattr(models, "TREE_ROWS", 10)
+    dealt = models._tree_rows(rows, 100)
+    assert dealt.rdd.getNumPartitions() == 10 and dealt.count() == 100
+
+
+def test_split_sorts_written_rows(spark):
+    from dealflow.operators import split
+
+    d = spark.createDataFrame([(f"D{i}", f"2024-01-{1 + i % 5:02d}") for i in range(50)], "deal_id string, asof_date string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+
+    got = split.time_split(d.mapInArrow(seen, d.schema))
+    assert got.count() == 50 and calls.value == 50
