@@ -65,42 +65,48 @@ def _crowds(members: DataFrame) -> DataFrame:
     return members.join(buckets, "bucket")
 
 
-def link_refined(members: DataFrame, comparer: Callable[[DataFrame], tuple[Callable, Callable]]) -> DataFrame:
-    """node, root of the components that links between a hub and another member of a bucket make.
+#: Buckets of more members, or of more than two with so many characters in all, are split before they are solved.
+CROWD, CROWD_SIZE = 1024, 1 << 20
+
 
-    ``members``: bucket, node (longs) and hub (boolean: may stand on the first
-    side of a pair).  ``comparer(nodes)`` prepares the nodes that share a bucket and
-    returns compare(pairs), which gives a, b, linked for pairs (a, b), and
-    finer(members), which puts members of one bucket into finer ones (with columns of
-    its own, and ``last`` where it can't be refined) that bring all linked members together again.
+def link_refined(members: DataFrame, comparer: Callable[[DataFrame], tuple[Callable, Callable, Callable]]) -> DataFrame:
+    """node, root of the components that links between a hub and another member of a bucket make.
 
-    As in ``link_buckets``, members are compared with the least hub, small
-    buckets still apart pair by pair, and large ones by their finer buckets.
+    ``members``: bucket, node (longs), hub (boolean: of a pair, one is a hub) and size (int).
+    ``comparer(nodes)`` prepares the nodes that share a bucket and returns three functions:
+    solve(members) gives edges a, b that connect what is linked inside each of the
+    buckets; compare(pairs) gives a, b, linked for pairs (a, b); and finer(members)
+    puts members of one bucket into finer ones that bring all linked members together again.
+    Its result has columns of its own and, for buckets that can't be split,
+    ``last`` with ``extra`` and ``cap``: there two members are linked if their ``extra`` make at most ``cap``.
+
+    A bucket is solved where it meets, if its size is bounded (``CROWD``).  A larger one is
+    split for as long as its members are in several components.  In a last bucket
+    a member with the least ``extra`` is linked to all that are linked at all.
     """
-    level, edges, roots, tools = members, None, None, None
+    level, edges, tools = members.withColumns({"last": F.lit(False), "extra": F.lit(0), "cap": F.lit(0)}), None, None
     while True:
-        shared = written(_crowds(level), "buckets")
+        buckets = level.groupBy("bucket").agg(
+            F.max("hub").alias("any_hub"), F.min("node").alias("first"), F.max("node").alias("final"),
+            F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"), F.min(F.struct("extra", "node")).alias("low")) \
+            .filter("any_hub and first <> final") \
+            .select("bucket", "low", ((F.col("n") > CROWD) | (F.col("n") > 2) & (F.col("chars") > CROWD_SIZE)).alias("large"))
+        shared = written(level.join(buckets, "bucket"), "buckets")
         tools = tools or comparer(shared.select("node").distinct())
-        compare, finer = tools
-        stars = shared.filter("low <> node").select(F.least("low", "node").alias("a"), F.greatest("low", "node").alias("b")).distinct()
-        if roots is not None:
-            stars = with_roots(with_roots(stars, roots, "a", "ra"), roots, "b", "rb").filter("ra <> rb").select("a", "b")
-        found = written(compare(stars), "compared").filter("linked").select("a", "b")
-        edges = found if edges is None else edges.union(found)
+        solve, compare, finer = tools
+        found = solve(shared.filter("not large and not last").select("bucket", "node", "hub"))
+        if edges is not None:
+            stars = shared.filter("last and node <> low.node and extra + low.extra <= cap") \
+                .select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
+            found = edges.union(found).union(compare(stars).filter("linked").select("a", "b"))
+        edges = written(found, "linked")
         roots = components(edges)
-        rooted = written(with_roots(shared, roots), "rooted")
-        closed = ~F.col("large") | (F.col("last") if "last" in rooted.columns else F.lit(False))
-        pairs = _across(rooted.filter(closed).select("bucket", "node", "hub", "root")).select("a", "b").distinct()
-        found = written(compare(pairs), "compared").filter("linked").select("a", "b")
-        if not found.isEmpty():
-            edges = edges.union(found)
-            roots = components(edges)
-        mixed = rooted.filter(~closed).groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")) \
-            .filter("r0 <> r1").select("bucket")
-        crowded = rooted.filter(~closed).drop("low", "large", "root", "last").join(mixed, "bucket")
-        if mixed.isEmpty():
+        crowded = shared.filter("large and not last")
+        if crowded.isEmpty():
             return roots
-        level = written(finer(crowded), "finer")
+        mixed = with_roots(crowded.select("bucket", "node"), roots).groupBy("bucket") \
+            .agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
+        level = written(finer(crowded.drop("low", "large", "last", "extra", "cap").join(mixed, "bucket")), "finer")
 
 
 def link_buckets(members: DataFrame, payload: list[str], may_link: Callable[[str, str], Column],

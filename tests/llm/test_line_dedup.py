@@ -1,6 +1,8 @@
 import random
 
-from dealflow.llm import links
+import numpy as np
+
+from dealflow.llm import line_dedup, links
 from dealflow.llm.line_dedup import dedup_lines, edit_within, probes, segments
 from llm_fixtures import SF_SMALL, no_docs, odd_docs, shipped  # noqa: F401
 
@@ -129,3 +131,47 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert (3, line.upper()) in texts and (15, "one two") in texts and (16, "one two") in texts
     assert (11, line + " again\n") in texts  # 400 equal lines, and the empty one at the end
     assert dedup_lines(no_docs).count() == 0
+
+
+def test_keys_and_hashed_distance():
+    rng = random.Random(4)
+    some = lambda n, letters="abé": "".join(rng.choice(letters) for _ in range(n))
+    first = [some(rng.randint(1, 25)) for _ in range(1500)]
+    second = [changed(rng, x, rng.randint(0, 4), "abé") for x in first]
+    at = np.arange(1500)
+    near = line_dedup._Hashed(first + second).within_two(at, at + 1500)
+    assert near.tolist() == [distance(x, y) <= 2 for x, y in zip(first, second)]
+    for d, least in ((1, 4), (2, 3), (2, 20), (3, 5)):
+        for _ in range(500):
+            x = some(rng.randint(least, 5 * least))
+            y = changed(rng, x, rng.randint(0, d), "abcd")
+            if len(y) >= least:  # lines within the distance meet in a bucket, one of them by a segment of its own
+                row, _, _, key, hub = line_dedup._Hashed([x, y]).keys(least, d)
+                own, all_ = ([{k for r, k, h in zip(row, key, hub) if r == i and (h or not only)} for i in (0, 1)] for only in (True, False))
+                assert own[0] & all_[1] or own[1] & all_[0]
+    for d in (1, 2, 3):
+        for _ in range(500):
+            x, y = some(rng.randint(1, 6), "ab"), some(rng.randint(1, 6), "ab")
+            one, two = ({k: (extra, cap) for k, extra, cap in line_dedup._shortened(z, d)} for z in (x, y))
+            assert any(one[k][0] + two[k][0] <= one[k][1] for k in one.keys() & two.keys()) == (distance(x, y) <= d)
+
+
+def test_lines_have_few_entries(spark):
+    rng = random.Random(6)
+    rows = [(i, "\n".join("".join(rng.choice("abcdé ") for _ in range(rng.randint(100, 300))) for _ in range(20))) for i in range(20)]
+    entries = line_dedup._entries(spark.createDataFrame(rows, "doc_id bigint, text string"), 2, 20)
+    assert entries.count() <= 5 * 400
+
+
+def test_crowds_are_split(spark, monkeypatch):
+    solved = []
+    monkeypatch.setattr(links, "CROWD", 6)
+    made = links.written
+    monkeypatch.setattr(links, "written", lambda df, what: solved.append(what) or made(df, what))
+    rng = random.Random(3)
+    rows = [(i, f"Order number {rng.randrange(100000):05}") for i in range(60)]  # last buckets, larger than a crowd
+    base = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    rows += [(60 + i, "\n".join(changed(rng, base, rng.randint(0, 5)) for _ in range(2))) for i in range(30)]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)).collect()}
+    assert [got[i] for i, _ in rows] == expected(rows)
+    assert solved.count("finer") >= 2
