@@ -25,11 +25,19 @@ from dealflow.llm.near_dedup import deduplicate
 
 #: A text is rejected if the probability of its best language is lower.
 MIN_LANGUAGE_SCORE = 0.5
+#: Bytes of an Arrow batch that a worker is handed (Spark's own limits are 10 000 rows and 64 MB); JVM and worker hold a few of them.
+BATCH_BYTES = 4 << 20
+
+
+def _prepare(spark: SparkSession) -> None:
+    """Ship the package and bound the session's Arrow batches."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language; the model learns from labelled rows that aren't held out."""
-    ship_package(spark)
+    _prepare(spark)
     model = fit_languages(docs.filter(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     named = predict_languages(docs, model)
     return named.filter((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
@@ -37,7 +45,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated lines; one that had words and has none left is a copy and goes."""
-    ship_package(spark)
+    _prepare(spark)
     lines = dedup_lines(docs, short_copies=True)
     emptied = (F.col("n_dropped") > 0) & ~F.col("text").rlike(r"\S")
     return lines.filter(~emptied).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint"))
@@ -46,19 +54,19 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: five-word shingles, similarity of 0.8 or more."""
-    ship_package(spark)
+    _prepare(spark)
     return deduplicate(docs, width=5, percent=80).select(*docs.columns)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights; a document is repeated as often as the mix takes it."""
-    ship_package(spark)
+    _prepare(spark)
     return mix(docs).select(*docs.columns)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens, ids of every document, and whether the ids decode to its text."""
-    ship_package(spark)
+    _prepare(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     texts = docs.select("doc_id", "source", "text")
     coded = round_trip(texts, path, public_tokenizers.PATTERN)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import PIECE, slices
 from .pieces import PieceEncoder, packed, worker_encoder
 
 
@@ -95,7 +95,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", offsets:
                        + [f"{c} array<{'int' if c == 'ids' else 'bigint'}>" for c in added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, PIECE):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             ids = encode_texts(texts, path, pattern)
             new = [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))]
@@ -131,7 +131,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
     schema = T.StructType([*kept.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, PIECE):
             texts = [t or "" for t in batch.column(text).to_pylist()]
             ids = encode_texts(texts, path, pattern)
             same = [decode_ids(x.tolist(), path) == t.encode("utf-8", "surrogatepass") for t, x in zip(texts, ids)]
@@ -146,7 +146,7 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text") -> Da
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode, decode and digest every document in one pass over its Arrow batches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             counts, id_digests, byte_digests = [], [], []
             for ids in encode_texts([t or "" for t in batch.column("text").to_pylist()], path, pattern):
                 ids = ids.tolist()

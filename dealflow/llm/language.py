@@ -32,7 +32,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import PIECE, slices, written
 
 # ISO 639-1 codes by family.  A language not listed is a family of its own.
 FAMILIES = {
@@ -47,6 +47,8 @@ FAMILIES = {
 }
 
 DIMS = 4096
+#: Rows of features (DIMS numbers each) in a batch.
+FEATURE_ROWS = 64
 
 
 def family_of(language: str) -> str:
@@ -117,6 +119,15 @@ class LanguageModel:
         return languages[won], sure * float(odds[won]) / (len(languages) - 1)
 
 
+def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, x of every row; a short text has thousands of numbers too, so rows are counted, not only bytes."""
+    for piece in slices(batches, "text", PIECE):
+        for i in range(0, len(piece), FEATURE_ROWS):
+            batch = piece.slice(i, FEATURE_ROWS)
+            x = [features(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(x, pa.list_(pa.float64()))], ["lang", "x"])
+
+
 def fit_languages(labelled: DataFrame, sample_per_language: int = 500) -> LanguageModel:
     """Fit from (doc_id, text, lang); null labels and texts are left out."""
     rows = labelled.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"),
@@ -133,12 +144,7 @@ def fit_languages(labelled: DataFrame, sample_per_language: int = 500) -> Langua
     sample = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id", "text"))) \
         .filter(F.col("rank") <= sample_per_language).select("lang", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
-            x = [features(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(x, pa.list_(pa.float64()))], ["lang", "x"])
-
-    sample = written(sample.mapInArrow(run, "lang string, x array<double>"), "language-sample").coalesce(4)
+    sample = written(sample.mapInArrow(_feature_batches, "lang string, x array<double>"), "language-sample").coalesce(4)
     languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     model = LanguageModel(sorted({family_of(x) for x in languages}))
     model.members = {f: [x for x in languages if family_of(x) == f] for f in model.families}
@@ -171,7 +177,7 @@ def predict_languages(docs: DataFrame, model: LanguageModel, text: str = "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__has_letter")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, PIECE):
             found = [model.predict(features(t)) if letter and model.families else ("und", 0.0)
                      for t, letter in zip(batch.column(text).to_pylist(), batch.column("__has_letter").to_pylist())]
             rest = batch.drop_columns("__has_letter")

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import PIECE, slices, written
 from .links import link_refined, with_roots
 
 
@@ -134,7 +134,7 @@ def _hash(line: str, seed: int = 0) -> int:
 def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
     """node, check (two hashes of the line), doc_id, text_key and place of every line that is compared."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             rows, nodes, checks, places = [], [], [], []
             for row, text in enumerate(batch.column("text").to_pylist()):
                 for place, line in _lines(text, min_chars):
@@ -263,7 +263,7 @@ class _Hashed:
 def _entries(docs: DataFrame, distance: int, min_chars: int) -> DataFrame:
     """bucket, node, hub, size: index entries (hub) and probe entries of the distinct lines of each piece of a batch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):  # hashes take many times the room of their lines
+        for batch in slices(batches, "text", PIECE):  # hashes take many times the room of their lines
             lines = list(dict.fromkeys(line for text in batch.column("text").to_pylist() for _, line in _lines(text, min_chars)))
             hashed, nodes = _Hashed(lines), np.array([_hash(x) for x in lines], np.uint64).view(np.int64)
             row, _, _, key, hub = hashed.keys(min_chars, distance)
@@ -418,7 +418,7 @@ def _met(entries: DataFrame) -> DataFrame:
 
 def _comparer(docs: DataFrame, distance: int, min_chars: int):
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             lines = list(dict.fromkeys(line for text in batch.column("text").to_pylist() for _, line in _lines(text, min_chars)))
             yield pa.RecordBatch.from_arrays([_signed([_hash(x) for x in lines]), pa.array(lines, pa.string())], ["node", "line"])
 
@@ -517,7 +517,7 @@ def dedup_lines(docs: DataFrame, distance: int = 2, min_chars: int = 20, short_c
                      & (F.col("__key") == F.col("__text_key")), "left").select(*(F.col(f"`{c}`") for c in plain.columns), "__places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             kept, n_lines, n_dropped = [], [], []
             for value, places in zip(batch.column("text").to_pylist(), batch.column("__places").to_pylist()):
                 lines = value.split("\n") if value else []

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_small
-from .common import slices, written
+from .common import PIECE, slices, written
 from .links import link_buckets, with_roots
 from .shingles import bands, low_bits, set_digest, shingle_set, sketch
 
@@ -54,7 +54,7 @@ def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
     alone = next(n for n in range(1, 10_000) if 100 * n >= percent * (n + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             sizes, digests, ones, others, keys = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 items = shingle_set(text, width)

@@ -25,7 +25,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, slices
+from .common import PIECE, shared_folder, slices
 from .pieces import PieceEncoder, worker_encoder
 
 CACHE_SCHEMA = "content_digest binary, n_tokens bigint, tokenizer_digest string"
@@ -67,7 +67,7 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(("counts", path), lambda: PieceEncoder(_load(path), len))
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE):
             counts = [sum(parts) for parts in encoder.encode(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("content_digest"), pa.array(counts, pa.int64())],
                                              ["content_digest", "n_tokens"])

@@ -53,3 +53,16 @@ def test_features_use_the_whole_text():
     assert family_of("de") == family_of("en") != family_of("fr") and family_of("xx") == "xx"
     start = "ab " * 20000
     assert (features(start + "zq" * 3000) != features(start)).any()
+
+
+def test_feature_batches_are_bounded_by_rows():
+    """A text of one word has thousands of features like a long one."""
+    import pyarrow as pa
+
+    from dealflow.llm.language import DIMS, _feature_batches
+
+    batch = pa.record_batch([pa.array(["en"] * 1000), pa.array([f"w{i}" for i in range(1000)])], ["lang", "text"])
+    out = list(_feature_batches(iter([batch])))
+    assert max(b.nbytes for b in out) < 4 << 20
+    rows = [x for b in out for x in b.column("x").to_pylist()]
+    assert len(rows) == 1000 and len(rows[999]) == DIMS and rows[999] == list(features("w999"))

@@ -41,3 +41,17 @@ def test_run_and_odd_rows(spark, odd_docs, no_docs):
             result = stage(spark, rows, "")
             assert result.columns == COLUMNS and (rows.isEmpty() is False or result.isEmpty())
         assert pipeline.bpe_stage(spark, rows, "").count() == rows.count()
+
+
+def test_workers_get_bounded_batches(spark):
+    """A stage's workers get a few MB of text at a time, however long the texts are."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([len(b)]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 1000) AS text", "'en' AS lang", "'s' AS source", "5000L AS n_chars")
+    pipeline.bpe_stage(spark, docs, "")
+    got = docs.mapInArrow(run, "n bigint, bytes bigint").collect()
+    assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) <= pipeline.BATCH_BYTES + 100_000

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -144,3 +145,32 @@ def test_stored_pieces_are_bounded_by_bytes(monkeypatch):
         for store in (encoder.first, encoder.rest):
             # two generations, the younger one filled by a single text at most beyond its half
             assert sum(len(p) for p in (*store, *store.old)) * 4 <= 40_000 + 40 * (pieces.OVERHEAD + 4 * 91)
+
+
+def test_a_workers_store_is_small():
+    """A worker keeps its store while other stages run, so it is bounded well below a worker's share of an executor."""
+    from dealflow.llm import pieces
+
+    store = pieces.Store()
+    for k in range(0, 600_000, 20_000):
+        for p in store.missing({f"piece{i:08d}" for i in range(k, k + 20_000)}):
+            store[p] = p
+    assert "piece00599999" in store and (len(store) + len(store.old)) * (pieces.OVERHEAD + 13 * 4) <= 40 << 20
+
+
+def test_round_trip_codes_few_texts_at_a_time(spark, monkeypatch):
+    """Pieces of texts are objects many times their size, so only about half a MB of text is cut at a time."""
+    from dealflow.llm import byte_bpe
+
+    seen, plain = [], byte_bpe.encode_texts
+    monkeypatch.setattr(byte_bpe, "encode_texts", lambda texts, *a: seen.append(sum(map(len, texts))) or plain(texts, *a))
+
+    class Rows:
+        schema = spark.createDataFrame([], "doc_id bigint, text string").schema
+        drop = lambda self, *c: self
+        mapInArrow = lambda self, run, schema: run
+
+    batch = pa.record_batch([pa.array(range(400)), pa.array(["some words of text " * 500] * 400)], ["doc_id", "text"])
+    out = list(byte_bpe.round_trip(Rows(), RANKS, P.PATTERN)(iter([batch])))
+    assert sum(map(len, out)) == 400 and all(b.column("round_trip").to_pylist() == [True] * len(b) for b in out)
+    assert max(seen) <= 600_000
