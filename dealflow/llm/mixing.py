@@ -138,7 +138,7 @@ def sized_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     text = F.col("text").cast("string")
     return written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
                                shuffle_key(seed, F.col("doc_id"), text).alias("key"), size_of(text).alias("size")),
-                   "mix-sizes")
+                   "mix-sizes", packed=True)
 
 
 def mix_report(docs: DataFrame, seed: str = "mix", max_epochs: int = 3,

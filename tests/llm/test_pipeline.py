@@ -55,3 +55,24 @@ def test_workers_get_bounded_batches(spark):
     pipeline.bpe_stage(spark, docs, "")
     got = docs.mapInArrow(run, "n bigint, bytes bigint").collect()
     assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) <= pipeline.BATCH_BYTES + 100_000
+
+
+def test_packed_tables_have_few_files(spark, tmp_path, monkeypatch):
+    """Small partitions are written together; what is made of much has many files."""
+    from dealflow.llm import common, links
+
+    def files(df):
+        return len(df.inputFiles())
+
+    few = common.FILES_A_CORE * spark.sparkContext.defaultParallelism
+    spark.range(0, 50_000, 1, 1).selectExpr("id", "uuid() AS text").write.parquet(str(tmp_path / "a b%20"))
+    rows = spark.read.parquet(str(tmp_path / "a b%20")).repartition(150)
+    out = common.written(rows, "test", packed=True)
+    assert files(out) <= few and out.count() == 50_000 and out.select("id").distinct().count() == 50_000
+    monkeypatch.setattr(common, "FILE_BYTES", 20_000)
+    assert files(common.written(rows, "test", packed=True)) > min(60, 2 * few)
+    monkeypatch.undo()
+
+    pairs = spark.range(0, 3000).selectExpr("id AS a", "id + 3000 AS b").repartition(120)
+    stars = links.components(pairs)
+    assert files(stars) <= few and {(r.node, r.root) for r in stars.collect()} == {(i + 3000, i) for i in range(3000)}
