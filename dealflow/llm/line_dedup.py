@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PIECE, slices, written
+from .common import PIECE, packed, slices, written
 from .links import link_refined, with_roots
 
 
@@ -448,7 +448,7 @@ def _comparer(docs: DataFrame, distance: int, min_chars: int):
         lines = _keyed(docs).select("text").mapInArrow(texts, "node bigint, line string")
         # one plan at any size: texts move once, by node, and stay where the join leaves them
         lines = lines.join(nodes.hint("shuffle_hash"), "node", "left_semi")
-        lines = written(lines.dropDuplicates(["node", "line"]), "line-texts", packed=True)
+        lines = written(packed(lines.dropDuplicates(["node", "line"])), "line-texts")
         split = _finer(distance, min_chars)
 
         def solve(members: DataFrame) -> DataFrame:
@@ -482,11 +482,11 @@ def line_groups(docs: DataFrame, distance: int = 2, min_chars: int = 20, short_c
     """
     if min_chars <= distance:
         raise ValueError("min_chars must exceed distance")
-    occurrences = written(_occurrences(docs, 1 if short_copies else min_chars), "occurrences", packed=True)
-    met = written(_met(_entries(docs, distance, min_chars)), "line-entries", packed=True)
+    occurrences = written(packed(_occurrences(docs, 1 if short_copies else min_chars)), "occurrences")
+    met = written(packed(_met(_entries(docs, distance, min_chars))), "line-entries")
     roots = link_refined(met, _comparer(docs, distance, min_chars))
     place = _place()
-    lines = written(occurrences.groupBy("node", "check").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "lines", packed=True)
+    lines = written(packed(occurrences.groupBy("node", "check").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))), "lines")
     rooted = with_roots(lines, roots)
     # a line in no link is a group of its own under (node, check)
     rooted = rooted.join(roots.select(F.col("root").alias("__linked")).distinct(), F.col("root") == F.col("__linked"), "left")
@@ -505,7 +505,7 @@ def _place() -> Column:
 def dedup_lines(docs: DataFrame, distance: int = 2, min_chars: int = 20, short_copies: bool = False) -> DataFrame:
     """``docs`` with the text of kept lines, ``n_lines`` and ``n_dropped``; a row for every row of ``docs``."""
     occurrences, groups = line_groups(docs, distance, min_chars, short_copies)
-    groups = written(groups, "line-groups", packed=True)
+    groups = written(packed(groups), "line-groups")
     dropped = occurrences.join(groups, ["node", "check"]).filter(_place() != F.col("first")) \
         .select("doc_id", "text_key", "place").distinct()
     by_doc = dropped.groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("__places")) \

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import packed, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -38,10 +38,10 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large and small stars (each edge moves to its least neighbour)
     until the edges are the stars of the result; each round is a written table.
     """
-    edges = written(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
-                    "edges", packed=True)
+    edges = written(packed(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()),
+                    "edges")
     while not _are_stars(edges):
-        edges = written(_small_star(_large_star(edges)), "stars", packed=True)
+        edges = written(packed(_small_star(_large_star(edges))), "stars")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
@@ -91,7 +91,7 @@ def link_refined(members: DataFrame, comparer: Callable[[DataFrame], tuple[Calla
             F.count(F.lit(1)).alias("n"), F.sum("size").alias("chars"), F.min(F.struct("extra", "node")).alias("low")) \
             .filter("any_hub and first <> final") \
             .select("bucket", "low", ((F.col("n") > CROWD) | (F.col("n") > 2) & (F.col("chars") > CROWD_SIZE)).alias("large"))
-        shared = written(level.join(buckets, "bucket"), "buckets", packed=True)
+        shared = written(packed(level.join(buckets, "bucket")), "buckets")
         tools = tools or comparer(shared.select("node").distinct())
         solve, compare, finer = tools
         found = solve(shared.filter("not large and not last").select("bucket", "node", "hub"))
@@ -99,14 +99,14 @@ def link_refined(members: DataFrame, comparer: Callable[[DataFrame], tuple[Calla
             stars = shared.filter("last and node <> low.node and extra + low.extra <= cap") \
                 .select(F.col("low.node").alias("a"), F.col("node").alias("b")).distinct()
             found = edges.union(found).union(compare(stars).filter("linked").select("a", "b"))
-        edges = written(found, "linked", packed=True)
+        edges = written(packed(found), "linked")
         roots = components(edges)
         crowded = shared.filter("large and not last")
         if crowded.isEmpty():
             return roots
         mixed = with_roots(crowded.select("bucket", "node"), roots).groupBy("bucket") \
             .agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("bucket")
-        level = written(finer(crowded.drop("low", "large", "last", "extra", "cap").join(mixed, "bucket")), "finer", packed=True)
+        level = written(packed(finer(crowded.drop("low", "large", "last", "extra", "cap").join(mixed, "bucket"))), "finer")
 
 
 def link_buckets(members: DataFrame, payload: list[str], may_link: Callable[[str, str], Column],
@@ -128,8 +128,8 @@ def link_buckets(members: DataFrame, payload: list[str], may_link: Callable[[str
     So no link between components is lost; of a large group's pairs only those are
     made that the bound can't rule out.
     """
-    shared = written(_crowds(members.withColumn("hub", F.lit(True))), "buckets", packed=True)
-    info = written(shared.groupBy("node").agg(*(F.first(c).alias(c) for c in payload)), "bucket-nodes", packed=True)
+    shared = written(packed(_crowds(members.withColumn("hub", F.lit(True)))), "buckets")
+    info = written(packed(shared.groupBy("node").agg(*(F.first(c).alias(c) for c in payload))), "bucket-nodes")
 
     def described(pairs: DataFrame, side: str, prefix: str) -> DataFrame:
         return pairs.join(info.select(F.col("node").alias(side), *(F.col(c).alias(prefix + c) for c in payload)), side)
@@ -141,20 +141,20 @@ def link_buckets(members: DataFrame, payload: list[str], may_link: Callable[[str
         return pairs.filter(F.col("split") | may_link("x_", "y_")).select("a", "b", "split")
 
     compare = comparer(info.select("node"))
-    seen = written(compare(likely(shared.filter("low <> node").select(
-        F.col("low").alias("a"), F.col("node").alias("b"), F.col("large").alias("split")))), "compared", packed=True)
+    seen = written(packed(compare(likely(shared.filter("low <> node").select(
+        F.col("low").alias("a"), F.col("node").alias("b"), F.col("large").alias("split"))))), "compared")
     edges = seen.filter("linked").select("a", "b")
     roots = components(edges)
 
     small = _across(with_roots(shared.filter("not large").select("bucket", "node", "hub"), roots))
     groups = with_roots(with_roots(seen.filter("split").drop("split", "linked"), roots, "b", "rb"), roots, "a", "ra")
     mixed = groups.groupBy("a").agg(F.max(F.col("ra") != F.col("rb")).alias("mixed")).filter("mixed").select("a")
-    groups = written(described(groups.join(mixed, "a").drop("ra"), "b", ""), "groups", packed=True)
+    groups = written(packed(described(groups.join(mixed, "a").drop("ra"), "b", "")), "groups")
     x, y = (groups.select("a", *(F.col(c).alias(p + c) for c in groups.columns if c != "a")) for p in ("x_", "y_"))
     large = x.join(y, "a").filter((F.col("x_b") < F.col("y_b")) & (F.col("x_rb") != F.col("y_rb"))
                                   & may_link("x_", "y_") & bounded("x_", "y_"))
     large = large.select(F.col("x_b").alias("a"), F.col("y_b").alias("b"), F.lit(False).alias("split"))
-    found = written(compare(likely(small.union(large))), "compared", packed=True).filter("linked").select("a", "b")
+    found = written(packed(compare(likely(small.union(large)))), "compared").filter("linked").select("a", "b")
     return roots if found.isEmpty() else components(edges.union(found))
 
 

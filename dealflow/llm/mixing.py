@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_small
-from .common import written
+from .common import packed, written
 
 FINISH_RANGES = 16384
 
@@ -136,9 +136,9 @@ def mix_plan(sized: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (
 
 def sized_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     text = F.col("text").cast("string")
-    return written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
-                               shuffle_key(seed, F.col("doc_id"), text).alias("key"), size_of(text).alias("size")),
-                   "mix-sizes", packed=True)
+    return written(packed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
+                               shuffle_key(seed, F.col("doc_id"), text).alias("key"), size_of(text).alias("size"))),
+                   "mix-sizes")
 
 
 def mix_report(docs: DataFrame, seed: str = "mix", max_epochs: int = 3,

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.joins import join_small
-from .common import PIECE, slices, written
+from .common import PIECE, packed, slices, written
 from .links import link_buckets, with_roots
 from .shingles import bands, low_bits, set_digest, shingle_set, sketch
 
@@ -82,7 +82,7 @@ def _classes(signed: DataFrame) -> DataFrame:
     classes = signed.filter("n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("k1", "k2", "n_shingles", "bits1", "bits2", "bands")))
     classes = classes.repartitionByRange(F.asc_nulls_last("rep"), "digest").sortWithinPartitions(F.asc_nulls_last("rep"), "digest")
-    return written(classes.withColumn("node", F.monotonically_increasing_id()), "classes", packed=True)
+    return written(packed(classes.withColumn("node", F.monotonically_increasing_id())), "classes")
 
 
 def _may_link(percent: int):
@@ -157,11 +157,11 @@ def _compare(width: int, percent: int):
 
 def _comparer(docs: DataFrame, classes: DataFrame, width: int, percent: int):
     def prepare(nodes: DataFrame):
-        wanted = written(classes.join(nodes, "node").select("node", F.col("k1").alias("c1"), F.col("k2").alias("c2")), "wanted", packed=True)
+        wanted = written(packed(classes.join(nodes, "node").select("node", F.col("k1").alias("c1"), F.col("k2").alias("c2"))), "wanted")
         text = F.coalesce(F.col("text").cast("string"), F.lit(""))
         keyed = docs.select(*text_keys(text), text.alias("text"))
         texts = join_small(keyed, wanted, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), max_rows=100_000)
-        texts = written(texts.select("node", "text").dropDuplicates(["node"]), "candidate-texts", packed=True)
+        texts = written(packed(texts.select("node", "text").dropDuplicates(["node"])), "candidate-texts")
         run = _compare(width, percent)
 
         def compare(pairs: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def _comparer(docs: DataFrame, classes: DataFrame, width: int, percent: int):
 
 def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Signature rows with ``component_id`` and ``root`` (both null where a text has no words)."""
-    signed = written(signatures(docs, width, percent), "signatures", packed=True)
+    signed = written(packed(signatures(docs, width, percent)), "signatures")
     classes = _classes(signed)
     payload = ["n_shingles", "bits1", "bits2"]
     members = classes.filter("bands is not null").select(
@@ -204,8 +204,8 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     Rows equal in doc_id and text are one document and stay or go together.
     """
-    rows = written(_grouped(docs, width, percent).filter("root is not null")
-                   .select("root", "doc_id", "k1", "k2"), "grouped", packed=True)
+    rows = written(packed(_grouped(docs, width, percent).filter("root is not null")
+                   .select("root", "doc_id", "k1", "k2")), "grouped")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
     first = rows.groupBy("root").agg(F.min(place).alias("first"))
     gone = rows.join(first, "root").filter(place != F.col("first")).select(
@@ -213,4 +213,4 @@ def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     k1, k2 = text_keys(text)
     match = F.col("doc_id").cast("bigint").eqNullSafe(F.col("__doc_id")) & (k1 == F.col("__k1")) & (k2 == F.col("__k2"))
-    return join_small(docs, written(gone, "gone", packed=True), match, "left_anti", max_rows=100_000)
+    return join_small(docs, written(packed(gone), "gone"), match, "left_anti", max_rows=100_000)

@@ -67,10 +67,10 @@ def test_packed_tables_have_few_files(spark, tmp_path, monkeypatch):
     few = common.FILES_A_CORE * spark.sparkContext.defaultParallelism
     spark.range(0, 50_000, 1, 1).selectExpr("id", "uuid() AS text").write.parquet(str(tmp_path / "a b%20"))
     rows = spark.read.parquet(str(tmp_path / "a b%20")).repartition(150)
-    out = common.written(rows, "test", packed=True)
+    out = common.written(common.packed(rows), "test")
     assert files(out) <= few and out.count() == 50_000 and out.select("id").distinct().count() == 50_000
     monkeypatch.setattr(common, "FILE_BYTES", 20_000)
-    assert files(common.written(rows, "test", packed=True)) > min(60, 2 * few)
+    assert files(common.written(common.packed(rows), "test")) > min(60, 2 * few)
     monkeypatch.undo()
 
     pairs = spark.range(0, 3000).selectExpr("id AS a", "id + 3000 AS b").repartition(120)
