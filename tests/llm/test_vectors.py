@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dealflow.llm.vector_dedup import exceeding, filter_plan, near_vectors
 from dealflow.llm.vector_search import hilbert_keys, search
@@ -143,6 +144,24 @@ def test_search_with_the_whole_table_in_its_windows_is_exact(spark):
         assert least < 1 or found == want
 
 
+def test_search_at_its_defaults_goes_by_the_curves(spark, monkeypatch):
+    from dealflow.llm import vector_search as v
+
+    placed, ranked = [], v._ranked
+    monkeypatch.setattr(v, "_ranked", lambda rows, dims, curves: placed.append(ranked(rows, dims, curves)) or placed[-1])
+    x = np.random.default_rng(14).standard_normal((600, 16))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    found = {(r.query_id, r.vec_id) for r in v.search(df.filter("vec_id % 20 = 0"), df, k=5, block_rows=50, query_rows=7).collect()}
+    assert len(placed) == 1
+    # every row has a place on each of the four curves
+    held = placed[0].groupBy("curve").agg(F.count_if(F.col("role") == 0).alias("n"), F.min("rank").alias("low"), F.max("rank").alias("high")).collect()
+    assert sorted((r.curve, r.n, r.low, r.high) for r in held) == [(c, 600, 0, 629) for c in range(4)]
+    for q in range(0, 600, 20):  # and the check that follows leaves none out
+        score = x @ x[q]
+        score[q] = -np.inf
+        assert {r for p, r in found if p == q} == set(np.argsort(-score)[:5].tolist())
+
+
 @pytest.mark.parametrize("dims,bits", [(2, 4), (3, 3), (6, 2)])
 def test_hilbert_keys_walk_the_grid(dims, bits):
     side = 1 << bits
